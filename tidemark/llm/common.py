@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -89,3 +90,24 @@ def position_in_group(df: DataFrame, keys: list[str], order: list[str], row: str
     for c in same[1:]:
         on = on & c
     return inside.join(starts, on).select(*[inside[c] for c in df.columns], (F.col("_start") + F.col("_inside")).cast("long").alias(out))
+
+
+def sieve(keys: DataFrame, key: str, bits: int = 1 << 23) -> Callable[[Column], Column]:
+    """A test for longs that lets all of keys[key] through and few others: a bit for each key, in one row of fixed size.
+
+    It only spares a shuffle what an exact join after it would drop; more keys let more through. It is a scalar
+    subquery of bits / 64 numbers, whatever the number of keys.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(F.lit("sieve"), c), F.lit(bits))
+    place = slot(F.col(key))
+    marked = keys.select(F.shiftright(place, 6).alias("_at"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int")).alias("_bit"))
+    marked = marked.groupBy("_at").agg(F.bit_or("_bit").alias("_bits"))
+    cells = keys.sparkSession.range(bits // 64).select(F.col("id").alias("_at")).join(marked, "_at", "left")
+    row = cells.agg(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("_bits", F.lit(0)).alias("_bits"))))["_bits"].alias("_all"))
+    whole = checkpoint(row).scalar()
+
+    def test(c: Column) -> Column:
+        word = F.get(whole, F.shiftright(slot(c), 6).cast("int"))
+        return F.call_function("shiftrightunsigned", word, F.pmod(slot(c), F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return test

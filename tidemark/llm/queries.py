@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, language_id, license_scan, line_dedup, near_dedup, packing, sharding, url_filter
+from tidemark.llm import ann, decontamination, language_id, license_scan, line_dedup, near_dedup, packing, sharding, suffix_dedup, url_filter
 from tidemark.llm.common import crc32_of_text
 
 
@@ -35,6 +35,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(_read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(_read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+    return found.select("doc_id", "n_bytes", suffix_dedup.removed(F.col("spans")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -49,6 +54,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, "doc_id", "text", tokenizer_path(), payload=lambda ids: F.crc32(ids).alias("ids_crc32"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_read(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", F.col("vec_id") % 100 == 0, k=10)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find(_read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", _read(spark, sf_dir, "benchmark", "item_id", "text"), "item_id", "text")
     ids = F.sha2(F.array_join("items", ",").cast("binary"), 256)
