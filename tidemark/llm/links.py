@@ -9,30 +9,47 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpoint, connected_components
 
+#: Rounds in which ids are tried with one other id of their bucket.
+ROUNDS = 3
+
 
 def shared_buckets(members: DataFrame) -> DataFrame:
-    """members (bucket, id) of the buckets with two ids or more, and each bucket's smallest (low)."""
-    ends = members.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("_high")).where("low < _high").drop("_high")
-    return checkpoint(members.join(ends, "bucket").distinct())
+    """members (bucket, id) of the buckets with two ids or more, and for each bucket one of its ids by hash (rep)."""
+    reps = members.groupBy("bucket").agg(F.min("id").alias("_low"), F.max("id").alias("_high"), F.min_by("id", F.xxhash64("id", "bucket")).alias("rep")).where("_low < _high").select("bucket", "rep")
+    return checkpoint(members.join(reps, "bucket").distinct())
 
 
-def linked_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS, across: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, component) over all true links among ids that share a bucket. members comes from shared_buckets().
 
-    verify takes distinct pairs (a < b) and returns those that are links. First each id is tried with its bucket's
-    smallest, which joins large groups in one row an id. Then only buckets whose ids still are in several components
-    matter, and there only pairs across components: each id outside the bucket's largest component is tried with the
-    ids of other components. A pair within a component would change nothing, so no link between components is lost.
+    verify takes distinct pairs (a < b) and returns those that are links. First each id is tried with one id of each of
+    its buckets, taken by hash, which joins most of a large group in one row an id and bucket. Then only buckets whose
+    ids still are in several components matter. Ids outside a bucket's largest component are tried with one id inside
+    it, again by hash, for a few rounds; in the end, those still outside are tried with every id of other components.
+    A pair within a component would change nothing, so no link between components is lost. across, if given, makes the
+    last candidates instead: from the ids of mixed buckets (bucket, id, part, largest) pairs (a, b) that hold every
+    link between parts.
     """
-    star = members.where("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    star = members.where("id != rep").select(*pair("rep", "id")).distinct()
     links = checkpoint(verify(star))
-    parts = checkpoint(connected_components(links))
-    placed = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "low", F.coalesce("component", "id").alias("part"))
-    sizes = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "part"))["part"].alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = checkpoint(placed.join(mixed, "bucket").where("id != low").select("bucket", "id", "part", "largest"))
-    few = mixed.where("part != largest").select("bucket", F.col("id").alias("x"), F.col("part").alias("px"))
-    other = mixed.select("bucket", F.col("id").alias("y"), F.col("part").alias("py"))
-    across = few.join(other, "bucket").where("px != py").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = verify(across)
-    return connected_components(parts.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
+    left = members.select("bucket", "id")
+    for k in range(1, rounds + 1):
+        parts = checkpoint(connected_components(links))
+        placed = left.join(parts.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("part"))
+        sizes = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", "bucket", F.lit(k))).alias("rep"))
+        mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "part", "rep")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+        placed = checkpoint(placed.join(mixed, "bucket").select("bucket", "id", "part", F.col("top.part").alias("largest"), F.col("top.rep").alias("rep")))
+        few = placed.where("part != largest")
+        if k < rounds:
+            more = verify(few.select(*pair("rep", "id")).distinct())
+        elif across:
+            more = verify(across(placed))
+        else:
+            other = placed.select("bucket", F.col("id").alias("y"), F.col("part").alias("py"))
+            both = few.select("bucket", F.col("id").alias("x"), F.col("part").alias("px")).join(other, "bucket").where("px != py")
+            more = verify(both.select(*pair("x", "y")).distinct())
+        # The components so far, as stars, and what is new.
+        links = checkpoint(parts.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
+        left = placed.select("bucket", "id")
+    return connected_components(links)
