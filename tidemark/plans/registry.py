@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 #: Modules that register queries when they are imported.
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("tidemark.plans.frozen_queries",)
 
 
 def register(name: str, sql: str | None = None):
