@@ -93,11 +93,9 @@ def find(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
                 n_hits = np.bincount(of, minlength=hi - lo)
                 ends = pa.array(np.r_[0, np.cumsum(n_hits)], pa.int32())
                 lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int64), pa.int64())) for x in (p - first[of], h)]
-                kept = pa.compute.if_else(pa.array(n_hits > 0), b.column(1).slice(lo, hi - lo), pa.scalar(None, pa.string()))
+                kept = b.column(1).slice(lo, hi - lo).take(pa.array(np.arange(hi - lo), mask=n_hits == 0))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.diff(first).astype(np.int64)), *lists, kept], ["k", "n_words", "places", "hashes", "text"])
 
-    import pyarrow.compute  # noqa: F401
-
     kind = docs.schema[key].dataType.simpleString()
     seen = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text")).mapInArrow(scan, f"k {kind}, n_words long, places array<long>, hashes array<long>, text string")
     seen = table(seen.withColumn("_row", F.monotonically_increasing_id()), "scanned")
