@@ -21,6 +21,7 @@ from tidemark.llm.common import checkpoint, position_in_group
 CELLS = 1 << 14
 VIRTUAL_NODES = 128
 SLACK = 0.002
+END = 1 << 62
 
 
 def ring(shards: int, virtual_nodes: int = VIRTUAL_NODES) -> list[tuple[int, int]]:
@@ -40,14 +41,15 @@ def walk(loads: dict[int, int], shards: int, slack: float = SLACK, virtual_nodes
         for step in range(len(nodes)):
             shard = nodes[(k + step) % len(nodes)][1]
             take = load - low if free[shard] >= load - low else int(free[shard])
-            if take > 0 or (load == 0 and free[shard] >= 0):
+            if take > 0 or not load:
                 plan.append((cell, low, low + take, shard))
                 free[shard] -= take
                 low += take
             if low >= load:
                 break
-        if low < load or not load:  # what rounding left, or a load of nothing
-            plan.append((cell, low, max(load, 1), max(range(shards), key=free.__getitem__)))
+        if low < load:  # what rounding left
+            plan.append((cell, low, load, max(range(shards), key=free.__getitem__)))
+        plan[-1] = (*plan[-1][:2], END, plan[-1][3])  # rows without size may come last
     return plan
 
 
