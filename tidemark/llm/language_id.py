@@ -84,8 +84,8 @@ def fit(docs: DataFrame, text: str, label: str, rows: int = FIT_ROWS) -> TextMod
     return TextModel(names, np.log(c / c.sum(1, keepdims=True)).astype(np.float32))
 
 
-def text_evidence(docs: DataFrame, text: str, model: TextModel, **keep: Column) -> DataFrame:
-    """The columns in keep, n (trigrams) and log_likelihood (array, a language each) for every row."""
+def text_evidence(docs: DataFrame, text: str, model: TextModel, keep: dict[str, Column]) -> DataFrame:
+    """The columns in keep, _n (trigrams) and _log_likelihood (array, a language each) for every row."""
     table, names, kinds = model.log_p, list(keep), [f for f in docs.select(*[c.alias(k) for k, c in keep.items()]).schema]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,11 +97,11 @@ def text_evidence(docs: DataFrame, text: str, model: TextModel, **keep: Column)
                 for k, row in enumerate(table):
                     total[k] += np.bincount(of, row[code], minlength=len(b))
             lists = pa.FixedSizeListArray.from_arrays(pa.array((total.T * TEMPER).ravel()), max(len(table), 1)).cast(pa.list_(pa.float64())) if len(table) else pa.array([[]] * len(b), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(n), lists], [*names, "n", "log_likelihood"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(n), lists], [*names, "_n", "_log_likelihood"])
 
     from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-    return docs.select(F.col(text).alias("_text"), *[c.alias(k) for k, c in keep.items()]).mapInArrow(score, StructType([*kinds, StructField("n", LongType()), StructField("log_likelihood", ArrayType(DoubleType()))]))
+    return docs.select(F.col(text).alias("_text"), *[c.alias(k) for k, c in keep.items()]).mapInArrow(score, StructType([*kinds, StructField("_n", LongType()), StructField("_log_likelihood", ArrayType(DoubleType()))]))
 
 
 def _first(scores: Column, names: list[str]) -> Column:
@@ -126,10 +126,10 @@ def identify(docs: DataFrame, text: str, keep: dict[str, Column], declared: Colu
     host_name = F.substring_index(host, ":", 1)
     domain = F.when(F.instr(host_name, ".") > 0, F.substring_index(host_name, ".", -2))
     suffix = F.when(F.instr(host_name, ".") > 0, F.substring_index(host_name, ".", -1))
-    seen = text_evidence(docs, text, model, **keep, _declared=declared, _suffix=suffix, _host=host_name, _domain=domain)
+    seen = text_evidence(docs, text, model, keep | {"_declared": declared, "_suffix": suffix, "_host": host_name, "_domain": domain})
     if not names:
         return seen.select(*keep, none.alias("language"), F.lit(None).cast("double").alias("posterior"), F.lit(False).alias("rejected"))
-    seen = checkpoint(seen.withColumn("_by_text", F.when(F.col("n") > 0, _first(F.col("log_likelihood"), names))))
+    seen = checkpoint(seen.withColumn("_by_text", F.when(F.col("_n") > 0, _first(F.col("_log_likelihood"), names))))
     spoke = seen.where("_by_text is not null")
     counts = lambda c: [F.sum((F.col("_by_text") == l).cast("long")).alias(f"_c{k}") for k, l in enumerate(names)]  # noqa: E731, E741, ARG005
     total = spoke.agg(*counts(None)).first()
@@ -153,13 +153,13 @@ def identify(docs: DataFrame, text: str, keep: dict[str, Column], declared: Colu
     nothing = F.array(*[F.lit(0.0)] * len(names))
     at_large = F.array(*[F.lit(float(np.log(p))) for p in prior])
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    score = add(add(F.col("log_likelihood"), F.coalesce("_e_declared", nothing)), add(F.coalesce("_e_suffix", nothing), F.coalesce("_e_host", at_large)))
+    score = add(add(F.col("_log_likelihood"), F.coalesce("_e_declared", nothing)), add(F.coalesce("_e_suffix", nothing), F.coalesce("_e_host", at_large)))
     out = out.withColumn("_score", score)
     # Divided by the largest first, so that the sum is at least 1.
     weights = F.transform("_score", lambda x: F.exp(x - F.array_max("_score")))
-    speaks = (F.col("n") > 0) | F.coalesce(F.col("_e_declared"), F.col("_e_suffix"), F.col("_e_host")).isNotNull()
+    speaks = (F.col("_n") > 0) | F.coalesce(F.col("_e_declared"), F.col("_e_suffix"), F.col("_e_host")).isNotNull()
     posterior = F.lit(1.0) / F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-    out = out.select(*keep, "n", F.when(speaks, _first(F.col("_score"), names)).alias("language"), F.when(speaks, posterior).alias("posterior"))
+    out = out.select(*keep, "_n", F.when(speaks, _first(F.col("_score"), names)).alias("language"), F.when(speaks, posterior).alias("posterior"))
     wanted = F.col("language").isin(*accepted) if accepted is not None else F.lit(True)
-    bad = (F.col("n") == 0) | F.col("language").isNull() | (F.col("posterior") < least) | ~wanted
+    bad = (F.col("_n") == 0) | F.col("language").isNull() | (F.col("posterior") < least) | ~wanted
     return out.select(*keep, "language", "posterior", F.coalesce(bad, F.lit(True)).alias("rejected"))
