@@ -9,33 +9,37 @@ the pieces of their length.
 
 from __future__ import annotations
 
-import re
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.bytes import AT_ONCE
+from tidemark.llm.bytes import runs
 from tidemark.llm.common import position_in_group, table
 
 SEQUENCE = 2048
 #: Words whose ids a task keeps; it starts anew beyond that.
 KEPT_WORDS = 1_000_000
+#: Characters of text that are encoded at once, or one longer text.
+AT_ONCE = 1 << 20
 _CUT = "\x1f"
-#: Where white space meets white space, or the cut sign occurs, words are not independent: such texts are encoded whole.
-_WHOLE = re.compile(r"\s\s|\x1f|[\x1c-\x1e\x85]")
+#: Where white space meets white space, or a sign that cuts occurs, words are not independent: such texts are encoded whole.
+_WHOLE = r"[\s\p{Z}\x{0b}\x{85}]{2}|[\x{1c}-\x{1f}\x{85}]"
 
 
 class Encoder:
     """Token ids of texts by a byte-level BPE file of `tokenizers`, one word at a time.
 
     Such a tokenizer never joins across the start of " word" or across a line feed that stands alone, so each distinct
-    word is encoded once. Texts where that does not hold are encoded whole.
+    word is encoded once. Texts where that does not hold are encoded whole. Words are kept as Arrow strings.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -43,44 +47,51 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.low: list[int] = []
-        self.size: list[int] = []
-
-    def _learn(self, words: list[str]) -> None:
-        for word, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            ids = e.ids
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.slot[word] = len(self.low)
-            self.low.append(self.used)
-            self.size.append(len(ids))
-            self.used += len(ids)
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [i for i, t in enumerate(texts) if _WHOLE.search(t)]
-        if len(self.slot) > KEPT_WORDS:
-            self.forget()
+        self.words = pa.array([], pa.large_string())
+        self.ids = np.zeros(0, np.uint32)
+        self.low = self.size = np.zeros(0, np.int64)
+
+    def _learn(self, words: pa.Array) -> None:
+        new, sizes = [], []
+        for k in range(0, len(words), 4096):
+            for e in self.tokenizer.encode_batch_fast(words.slice(k, 4096).to_pylist(), add_special_tokens=False):
+                ids = e.ids
+                new += ids
+                sizes.append(len(ids))
+        size = np.array(sizes, np.int64)
+        self.low = np.concatenate([self.low, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, np.array(new, np.uint32)])
+        self.words = pa.concat_arrays([self.words, words])
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text (large strings, none null)."""
+        whole = pc.match_substring_regex(texts, _WHOLE)
         out: list[np.ndarray] = [None] * len(texts)  # type: ignore[list-item]
-        for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
-            out[i] = np.array(e.ids, np.uint32)
-        there = set(whole)
-        rest = [i for i in range(len(texts)) if i not in there]
-        if not rest:
+        for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+        rest = np.flatnonzero(~whole.to_numpy(zero_copy_only=False))
+        if not len(rest):
             return out
-        cut = [texts[i].replace(" ", _CUT + " ").replace("\n", f"{_CUT}\n{_CUT}").split(_CUT) for i in rest]
-        words = pa.array([w for c in cut for w in c], pa.large_string()).dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        self._learn([w for w in distinct if w not in self.slot])
-        slots = np.array([self.slot[w] for w in distinct], np.int64)[words.indices.to_numpy()]
-        low, size = np.array(self.low, np.int64)[slots], np.array(self.size, np.int64)[slots]
+        if len(self.words) > KEPT_WORDS:
+            self.forget()
+        cut = pc.replace_substring(pc.replace_substring(texts.take(pa.array(rest)), " ", _CUT + " "), "\n", f"{_CUT}\n{_CUT}")
+        cut = pc.split_pattern(cut, _CUT)
+        words = cut.flatten().dictionary_encode()
+        distinct = words.dictionary
+        slot = pc.index_in(distinct, value_set=self.words)
+        fresh = slot.is_null()
+        n_known = len(self.words)
+        self._learn(distinct.filter(fresh))
+        slot = slot.fill_null(0).to_numpy().astype(np.int64)
+        fresh = fresh.to_numpy(zero_copy_only=False)
+        slot[fresh] = n_known + np.arange(fresh.sum())
+        slots = slot[words.indices.to_numpy()]
+        size = self.size[slots]
         ends = np.cumsum(size)
-        ids = self.ids[np.repeat(low - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        at = np.r_[0, ends][np.cumsum([0, *map(len, cut)])]
-        for k, i in enumerate(rest):
+        ids = self.ids[np.repeat(self.low[slots] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        at = np.r_[0, ends][np.cumsum(np.r_[0, pc.list_value_length(cut).to_numpy()])]
+        for k, i in enumerate(rest.tolist()):
             out[i] = ids[at[k] : at[k + 1]]
         return out
 
@@ -95,21 +106,15 @@ def pieces(docs: DataFrame, key: str, text: str, path: str, most: int = SEQUENCE
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(path)
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).fill_null("").to_pylist()
-            low = 0
-            while low < len(texts):
-                high, total = low, 0
-                while high < len(texts) and (high == low or total + len(texts[high]) <= AT_ONCE):
-                    total += len(texts[high])
-                    high += 1
+            keys, texts = batch.column(0), batch.column(1).cast(pa.large_string()).fill_null("")
+            for low, high in runs(pc.utf8_length(texts).to_numpy(), AT_ONCE):
                 row, piece, start, length, blobs = [], [], [], [], []
-                for i, ids in enumerate(encode(texts[low:high]), low):
+                for i, ids in enumerate(encode(texts.slice(low, high - low)), low):
                     ids = np.append(ids, np.uint32(end)).astype("<u4")
                     cuts = [0, *range(len(ids) % most or most, len(ids) + 1, most)] if len(ids) > most else [0, len(ids)]
                     for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
                         row.append(i), piece.append(k), start.append(a), length.append(b - a), blobs.append(ids[a:b].tobytes())
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(blobs, pa.binary())], [key, "piece", "start", "length", "ids"])
-                low = high
 
     from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
