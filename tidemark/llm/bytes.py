@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that a task works on at once; one longer text is taken alone.
-AT_ONCE = 4 << 20
+AT_ONCE = 1 << 20
 #: Words end at these bytes: those of \x20 and \x09-\x0D.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 _ODD = np.uint64(0x9E3779B97F4A7C15)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpoint, connected_components
@@ -14,42 +14,54 @@ ROUNDS = 3
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
-    """members (bucket, id) of the buckets with two ids or more, and for each bucket one of its ids by hash (rep)."""
-    reps = members.groupBy("bucket").agg(F.min("id").alias("_low"), F.max("id").alias("_high"), F.min_by("id", F.xxhash64("id", "bucket")).alias("rep")).where("_low < _high").select("bucket", "rep")
-    return checkpoint(members.join(reps, "bucket").distinct())
+    """members (bucket, id, no pair twice) of the buckets with two ids or more."""
+    shared = members.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
+    return checkpoint(members.join(shared, "bucket"))
 
 
-def linked_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS, across: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def linked_groups(
+    members: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    near: Callable[[Column, Column], Column] | None = None,
+    across: Callable[[DataFrame], DataFrame] | None = None,
+    rounds: int = ROUNDS,
+) -> DataFrame:
     """(node, component) over all true links among ids that share a bucket. members comes from shared_buckets().
 
     verify takes distinct pairs (a < b) and returns those that are links. First each id is tried with one id of each of
     its buckets, taken by hash, which joins most of a large group in one row an id and bucket. Then only buckets whose
     ids still are in several components matter. Ids outside a bucket's largest component are tried with one id inside
     it, again by hash, for a few rounds; in the end, those still outside are tried with every id of other components.
-    A pair within a component would change nothing, so no link between components is lost. across, if given, makes the
-    last candidates instead: from the ids of mixed buckets (bucket, id, part, largest) pairs (a, b) that hold every
-    link between parts.
+    A pair within a component would change nothing, so no link between components is lost.
+
+    near, if given, is a necessary condition on the two ids' column sig (a long) and is tested before a pair is made.
+    across, if given, makes the last candidates instead: from the ids of mixed buckets (bucket, id, part, largest)
+    pairs (a, b) that hold every link between parts.
     """
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    star = members.where("id != rep").select(*pair("rep", "id")).distinct()
-    links = checkpoint(verify(star))
-    left = members.select("bucket", "id")
+    own = ["sig"] if near else []
+    rep_of = lambda k: [F.min_by(c, F.xxhash64("id", "bucket", F.lit(k))).alias(f"rep_{c}") for c in ["id", *own]]
+    fits = near(F.col("rep_sig"), F.col("sig")) if near else F.lit(True)
+    star = members.join(members.groupBy("bucket").agg(*rep_of(0)), "bucket").where((F.col("id") != F.col("rep_id")) & fits)
+    links = checkpoint(verify(star.select(*pair("rep_id", "id")).distinct()))
+    left = members.select("bucket", "id", *own)
     for k in range(1, rounds + 1):
         parts = checkpoint(connected_components(links))
-        placed = left.join(parts.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("part"))
-        sizes = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", "bucket", F.lit(k))).alias("rep"))
-        mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "part", "rep")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-        placed = checkpoint(placed.join(mixed, "bucket").select("bucket", "id", "part", F.col("top.part").alias("largest"), F.col("top.rep").alias("rep")))
+        placed = left.join(parts.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", *own, F.coalesce("component", "id").alias("part"))
+        sizes = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"), *rep_of(k))
+        mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "part", *[f"rep_{c}" for c in ["id", *own]])).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+        placed = placed.join(mixed, "bucket").select("bucket", "id", *own, "part", F.col("top.part").alias("largest"), *[F.col(f"top.rep_{c}").alias(f"rep_{c}") for c in ["id", *own]])
+        placed = checkpoint(placed)
         few = placed.where("part != largest")
         if k < rounds:
-            more = verify(few.select(*pair("rep", "id")).distinct())
+            more = verify(few.where(fits).select(*pair("rep_id", "id")).distinct())
         elif across:
             more = verify(across(placed))
         else:
-            other = placed.select("bucket", F.col("id").alias("y"), F.col("part").alias("py"))
-            both = few.select("bucket", F.col("id").alias("x"), F.col("part").alias("px")).join(other, "bucket").where("px != py")
-            more = verify(both.select(*pair("x", "y")).distinct())
+            x, y = (t.select("bucket", *[F.col(c).alias(f"{c}_{e}") for c in ["id", "part", *own]]) for t, e in ((few, "x"), (placed, "y")))
+            on = near(F.col("sig_x"), F.col("sig_y")) if near else F.lit(True)
+            more = verify(x.join(y, "bucket").where((F.col("part_x") != F.col("part_y")) & on).select(*pair("id_x", "id_y")).distinct())
         # The components so far, as stars, and what is new.
         links = checkpoint(parts.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
-        left = placed.select("bucket", "id")
+        left = placed.select("bucket", "id", *own)
     return connected_components(links)

@@ -3,7 +3,9 @@
 A document's shingles give HASHES minima. Bands of ROWS minima each are its buckets; of every minimum the lowest
 BITS bits are kept, packed in 64-bit words. Pairs that share a bucket are candidates. The share of equal BITS-bit
 values, counted on the packed words and corrected for chance collisions (Li and Koenig, 2010), estimates the
-similarity; pairs far below the threshold go, the rest is decided on the full sets.
+similarity; pairs far below the threshold go, the rest is decided on the full sets. Documents that share a band with a
+large group and are linked with none of those tried so far would have to be tried with all of it: for these the exact
+prefix filter (a pair must share one of the rarest shingles of either) says which pairs are worth it.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from tidemark.llm.links import linked_groups, shared_buckets
 
 #: 32 bands of 4: at a similarity of 0.8 a pair shares no band once in 20 million times.
 HASHES, ROWS, BITS = 128, 4, 4
+#: Cells in which shingles are counted to order them by rarity. Any order finds the same links.
+RARITY_CELLS = 1 << 18
 #: Candidates go if the estimate is so many standard deviations below the threshold.
 DEVIATIONS = 6.0
 _IS_WORD = np.ones(256, bool)
@@ -127,6 +131,53 @@ def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "left", "right").mapInArrow(task, "a long, b long")
 
 
+def _prefix_pairs(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ids (id, part) in different parts whose prefixes share a shingle: every link between parts.
+
+    With shingles in one order, sets as similar as `percent` share one of the first |x| - ceil(percent * |x| / 100) + 1
+    of either. The order is by rarity, so that common shingles come last.
+    """
+    own = checkpoint(sets.join(ids, "id").select("id", "part", "members"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(RARITY_CELLS, np.int64)
+        for b in batches:
+            for m in b.column(0):
+                np.add.at(total, (np.frombuffer(m.as_buffer(), np.uint64) % np.uint64(RARITY_CELLS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+
+    often = np.zeros(RARITY_CELLS, np.int64)
+    for cell, n in own.select("members").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # RARITY_CELLS at most
+        often[cell] = n
+    shared = ids.sparkSession.sparkContext.broadcast(often)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_of = shared.value
+        for b in batches:
+            first, size = [], []
+            for m in b.column(2):
+                x = np.frombuffer(m.as_buffer(), np.uint64)
+                x = x[np.lexsort((x, n_of[(x % np.uint64(RARITY_CELLS)).astype(np.int64)]))]
+                first.append(x[: len(x) - -(-percent * len(x) // 100) + 1].astype(np.int64))
+                size.append(len(x))
+            n = np.array([len(x) for x in first], np.int64)
+            row = pa.array(np.repeat(np.arange(len(b)), n))
+            shingle = np.concatenate(first) if first else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(np.repeat(np.array(size, np.int64), n)), pa.array(np.concatenate([np.arange(k) for k in n]) if len(n) else n), pa.array(shingle)], ["id", "part", "size", "at", "shingle"])
+
+    rows = checkpoint(own.mapInArrow(prefixes, "id long, part long, size long, at long, shingle long"))
+    # A shingle of one part only makes no pair.
+    several = rows.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("shingle")
+    rows = rows.join(several, "shingle")
+    x, y = (rows.select("shingle", F.col("id").alias(f"id_{e}"), F.col("part").alias(f"part_{e}"), F.col("size").alias(f"size_{e}"), F.col("at").alias(f"at_{e}")) for e in "xy")
+    # If it is the first that they share, what follows it has to make up the intersection.
+    enough = (100 + percent) * F.least(F.col("size_x") - F.col("at_x"), F.col("size_y") - F.col("at_y")) >= percent * (F.col("size_x") + F.col("size_y"))
+    alike = (100 * F.col("size_x") >= percent * F.col("size_y")) & (100 * F.col("size_y") >= percent * F.col("size_x"))
+    pairs = x.join(y, "shingle").where((F.col("part_x") < F.col("part_y")) & alike & enough)
+    return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+
+
 def groups(docs: DataFrame, key: str, text: str, n: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of docs: key, n_shingles, component (the smallest key reachable, its own included), kept.
 
@@ -159,7 +210,7 @@ def groups(docs: DataFrame, key: str, text: str, n: int = 5, percent: int = 80)
         near = near.join(sets.select(F.col("id").alias("a"), F.col("members").alias("left")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("right")), "b")
         return _confirmed(near, percent)
 
-    parts = linked_groups(members, verify)
+    parts = linked_groups(members, verify, across=lambda placed: _prefix_pairs(sets, placed.select("id", "part").distinct(), percent))
     by_class = classes.select("id", "set", "least").join(parts.withColumnRenamed("node", "id"), "id", "left").select("set", "least", F.coalesce("component", "id").alias("part"))
     by_class = checkpoint(by_class)
     lowest = by_class.groupBy("part").agg(F.min("least").alias("component"))
