@@ -152,6 +152,19 @@ def test_contexts_of_one_anchor_in_several_shards(spark, monkeypatch):
     assert sorted(map(tuple, got), key=str) == brute.without_repeats(docs, 200)
 
 
+def test_simhash_of_lines_of_any_number_of_words(spark):
+    import xxhash
+
+    dice = random.Random(31)
+    rows = [(n, sentence(dice, n)) for n in (1, 2, 127, 255, 256, 257, 511, 512, 513, 5000)] + [(9000, "long " * 8999 + "long")]
+    got = line_dedup.with_simhash(spark.createDataFrame(rows, "n long, t string"), ["n"], F.split("t", " "))
+    want = {}
+    for n, t in rows:
+        h = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in t.split(" ")]
+        want[n] = sum(1 << i for i in range(64) if 2 * sum(x >> i & 1 for x in h) > n)
+    assert {r["n"]: r["simhash"] % (1 << 64) for r in got.collect()} == want
+
+
 def test_suffix_order_is_the_sorted_order():
     dice = random.Random(19)
     texts = ["".join(dice.choices("ab", k=dice.randrange(0, 40))).encode() for _ in range(30)]

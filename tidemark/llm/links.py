@@ -34,7 +34,7 @@ def linked_groups(
     it, again by hash, for a few rounds; in the end, those still outside are tried with every id of other components.
     A pair within a component would change nothing, so no link between components is lost.
 
-    near, if given, is a necessary condition on the two ids' column sig (a long) and is tested before a pair is made.
+    near, if given, is a necessary condition on the two ids' column sig (of any type) and is tested before a pair is made.
     across, if given, makes the last candidates instead: from the ids of mixed buckets (bucket, id, part, largest)
     pairs (a, b) that hold every link between parts.
     """
