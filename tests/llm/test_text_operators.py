@@ -130,6 +130,36 @@ def test_fuzzy_lines(spark):
     assert sorted(map(tuple, odd.collect()), key=str) == sorted([(None, "a b", 2, 1), (1, "", 1, 1), (1, "", 1, 1)], key=str)
 
 
+def edited(dice, line, n):
+    """line after n edits of a letter each: changed, left out or put in."""
+    for _ in range(n):
+        i = dice.choice([i for i, x in enumerate(line) if x != " "])
+        line = line[:i] + dice.choice(["", "q", line[i] + "q"]) + line[i + 1 :]
+    return line
+
+
+@pytest.mark.parametrize("low, high, share, least", [(10, 45, 1, 1), (50, 99, 0.02, 0.95), (100, 299, 0.02, 0.98), (300, 900, 0.02, 0.98)])
+def test_lines_within_the_edits_are_found(spark, low, high, share, least):
+    """Recall against edit similarity alone; share is that of the edits allowed, 1 edit at least."""
+    dice = random.Random(37)
+    letters = "abcdefghijklmnoprstuvwxyz"
+    docs, n = [], 160
+    for k in range(n):
+        line = ""
+        while len(line) < dice.randrange(low, high):
+            line = (line + " " + "".join(dice.choices(letters, k=dice.randrange(2, 9)))).strip()[:high]
+        line = line.strip().ljust(low, "z")
+        docs += [(2 * k, line), (2 * k + 1, edited(dice, line, max(1, int(share * (len(line) // 10)))))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("line", line_dedup.normal(F.col("text")))
+    x, y = df.select("doc_id", F.col("line").alias("x")), df.select((F.col("doc_id") + 1).alias("doc_id"), F.col("line").alias("y"))
+    # An edit that empties a word takes its space with it.
+    within = x.where("doc_id % 2 = 1").join(y, "doc_id").where("levenshtein(x, y) <= floor(0.1 * greatest(length(x), length(y)))")
+    want = {r["doc_id"] for r in within.collect()}
+    found = line_dedup.dedup(df, "doc_id", "text")
+    gone = {r["doc_id"] for r in found.where("n_dropped = 1").collect()}
+    assert gone <= want and len(want) > 0.9 * n and len(gone) >= least * len(want)
+
+
 def test_repeated_substrings(spark):
     dice = random.Random(13)
     passage, short = sentence(dice, 70), sentence(dice, 30)
