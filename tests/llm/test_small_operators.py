@@ -77,6 +77,18 @@ def test_licences_in_other_spellings(spark):
     assert found == sorted([(1, "MIT"), (1, "MIT"), (2, "Apache-2.0-line"), (3, None), (4, None), (5, None), (6, None), (None, "MIT")], key=str)
 
 
+@pytest.mark.parametrize("width", [50, 60, 66, 72, 79, 80, 100])
+def test_licences_wrapped_by_hand(spark, width):
+    import textwrap
+
+    wrap = lambda t, w: "\n".join(textwrap.fill(p, w, break_on_hyphens=False) for p in t.split("\n"))
+    docs = [(name, wrap(t, w)) for name, t in license_scan.KNOWN for w in (width, width + 1, width + 2)]
+    isc = license_scan.ISC.replace("above copyright notice", "above\ncopyright notice").replace("Copyright <year> <owner>", "Copyright Jane Body\n(c) 2020 A. Body\n© B. Body")
+    docs += [("ISC", isc), ("MIT", license_scan.MIT.replace("OR COPYRIGHT", "OR\nCOPYRIGHT"))]
+    found = rows(license_scan.scan(spark.createDataFrame(docs, "name string, text string"), "name", "text").select("name", "license"))
+    assert found == sorted(((n, n) for n, _ in docs), key=str)
+
+
 def test_sharding_is_balanced_gapless_and_moves_little(spark):
     df = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), (F.col("id") % 90 + 8).alias("size"))
     found = sharding.shard(df, "doc_id", "size", 24).collect()

@@ -56,8 +56,10 @@ SPELLINGS = (
     ("whilst", "while"),
     ("wilful", "willful"),
 )
-#: A copyright line: the word, or the sign, at the start of a line, up to its end.
-COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+#: Words behind "copyright" in running text that was wrapped before it; such a line is no copyright line.
+RUNNING = "notices?|holders?|owners?|licenses?|laws?|statements?|interests?|disclaimers?|permissions?|protection|and|or|in|to|of|for|is|are"
+#: A copyright line, up to its end: the word and something else than running text, the sign, or (c) and a year or name.
+COPYRIGHT = rf"(^|\n)[ \t]*(copyright\b(?![ \t]*(\n|$))(?![ \t]+({RUNNING})\b)|©|\(c\)(?=[ \t]*(copyright|©|[<\[{{])|[^\n]*\b(19|20)[0-9][0-9]\b))[^\n]*"
 OTHER = r"[^a-z0-9\x80-\x{10FFFF}]+"
 
 
