@@ -64,6 +64,28 @@ def test_url_filter(spark):
     assert url_filter.judge(df.limit(0), "page_id", "url", URL_RULES, html="html").count() == 0
 
 
+RELATIVE = [
+    ("http://a.net/x/y?q=1", '<meta http-equiv="refresh" content="0; url=../es/1">', "http://a.net/es/1"),
+    ("http://b.net/x/y", '<link rel=canonical href="index.html">', "http://b.net/x/index.html"),
+    ("http://c.net/x/y?q=1#f", '<link rel=canonical href="?p=2">', "http://c.net/x/y?p=2"),
+    ("http://d.net", '<link rel=canonical href="./p/./q/..">', "http://d.net/p/"),
+    ("http://e.net/x", '<base href="/deep/er/"><link rel=canonical href="../z">', "http://e.net/deep/z"),
+    ("http://f.net/x", '<base href="http://F2.net/a/b"><link rel=canonical href="c?u=http://q.net/../r">', "http://f2.net/a/c?u=http://q.net/../r"),
+    ("http://g.net/x", '<link rel=canonical href="/../../z/../y">', "http://g.net/y"),
+    ("http://h.net/x", '<link rel=canonical href="//i.net/z">', "http://i.net/z"),
+    ("http://j.net/x", '<link rel=canonical href="#top">', None),
+    ("http://k.net/x", '<link rel=canonical href="mailto:a@b.net">', None),
+]
+
+
+def test_relative_links_join_their_component(spark):
+    df = spark.createDataFrame([(u, h) for u, h, _ in RELATIVE], "url string, html string")
+    a = [u.split("#")[0] for u, _, _ in RELATIVE]
+    assert rows(url_filter.linked_addresses(df, "url", "html")) == sorted(((u, to) for u, (_, _, to) in zip(a, RELATIVE) if to), key=str)
+    pages = spark.createDataFrame([(1, "http://a.net/x/y", "<meta http-equiv=refresh content='0; url=../es/1'>"), (2, "http://a.net/es/1", None)], "page_id long, url string, html string")
+    assert rows(url_filter.judge(pages, "page_id", "url", URL_RULES, html="html").select("page_id", "verdict")) == [(1, "block"), (2, "block")]
+
+
 def test_an_allowed_alias_keeps_its_component_open(spark):
     df = spark.createDataFrame([(1, "http://x.net/es/", None), (2, "http://y.org/", None), (3, "http://z.com/", None)], "page_id long, url string, html string")
     moved = spark.createDataFrame([("http://x.net/es/", "http://y.org/"), ("http://y.org/", "http://z.com/"), (None, "http://y.org/")], "a string, b string")

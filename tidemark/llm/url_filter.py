@@ -35,22 +35,51 @@ def node_of(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(ascii_lower(head), rest))
 
 
+def folded(path: Column) -> Column:
+    """path, which starts with /, without its . and .. segments."""
+    parts = F.split(F.substring(path, F.lit(2), F.length(path)), "/")
+    step = lambda kept, s: F.when(s == ".", kept).when(s == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(s)))
+    left = F.aggregate(parts, F.array().cast("array<string>"), step)
+    last = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(left, F.array(F.lit("")))).otherwise(left)
+    return F.concat(F.lit("/"), F.array_join(last, "/"))
+
+
+def resolved(to: Column, base: Column) -> Column:
+    """The address that `to` names on a page at base (RFC 3986, 5.2); whole addresses are left as they are."""
+    head = F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*", 0)
+    own = F.regexp_extract(F.substring(base, F.length(head) + 1, F.length(base)), r"^[^?#]*", 0)
+    query = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
+    path = F.regexp_extract(to, r"^[^?#]*", 0)
+    rest = F.substring(to, F.length(path) + 1, F.length(to))
+    folder = F.regexp_extract(F.when(own == "", "/").otherwise(own), r"^.*/", 0)
+    return (
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), to)
+        .when(to.startswith("//"), F.concat(F.regexp_extract(base, r"^[^:/?#]+:", 0), to))
+        .when(to.startswith("/"), F.concat(head, folded(path), rest))
+        .when(to.startswith("?"), F.concat(head, own, to))
+        .when(to.startswith("#"), F.concat(head, own, query, to))
+        .otherwise(F.concat(head, folded(F.concat(folder, path)), rest))
+    )
+
+
 def linked_addresses(pages: DataFrame, url: str, html: str) -> DataFrame:
     """(a, b): each page's address and the address that its canonical link or its refresh names, as node_of has them.
 
-    Addresses may be relative to the scheme or the host; others without :// are ignored.
+    Addresses may be relative to the page's own or to its <base href>. Those without a host (mailto:) are ignored.
     """
     tag = F.explode(F.regexp_extract_all(F.col(html), F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0)))
     href = F.regexp_extract("tag", r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
     moved = F.regexp_extract("tag", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
     is_canonical = F.col("tag").rlike(r"(?i)\brel\s*=\s*[\"']?canonical\b")
     is_refresh = F.col("tag").rlike(r"(?i)\bhttp-equiv\s*=\s*[\"']?refresh\b")
-    tags = pages.where(F.col(html).rlike(r"(?i)canonical|refresh")).select(F.col(url).alias("url"), tag.alias("tag"))
-    to = tags.select("url", F.replace(F.when(is_canonical, href).when(is_refresh, moved), F.lit("&amp;"), F.lit("&")).alias("to")).where("to != ''")
-    head = F.regexp_extract("url", r"^[^:/?#]+://[^/?#]*", 0)
-    scheme = F.regexp_extract("url", r"^[^:/?#]+:", 0)
-    whole = F.when(F.col("to").startswith("//"), F.concat(scheme, "to")).when(F.col("to").startswith("/"), F.concat(head, "to")).otherwise(F.col("to"))
-    return to.select(node_of(F.col("url")).alias("a"), node_of(whole).alias("b")).where("a is not null and b is not null and a != b")
+    based = F.replace(F.regexp_extract(F.col(html), r"(?i)<base\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1), F.lit("&amp;"), F.lit("&"))
+    tags = pages.where(F.col(html).rlike(r"(?i)canonical|refresh")).select(F.col(url).alias("url"), based.alias("based"), tag.alias("tag"))
+    to = tags.select("url", "based", F.replace(F.when(is_canonical, href).when(is_refresh, moved), F.lit("&amp;"), F.lit("&")).alias("to")).where("to != ''")
+    # Exploded, so that the planner doesn't write these expressions out in place of each use.
+    base = F.when(F.col("based") != "", resolved(F.col("based"), F.col("url"))).otherwise(F.col("url"))
+    to = to.select("url", "to", F.explode_outer(F.array(base)).alias("base"))
+    to = to.select("url", F.explode_outer(F.array(resolved(F.col("to"), F.col("base")))).alias("whole"))
+    return to.select(node_of(F.col("url")).alias("a"), node_of(F.col("whole")).alias("b")).where("a is not null and b is not null and a != b")
 
 
 def fitting_rule(rows: DataFrame, rules: list[tuple[str, str, bool]]) -> DataFrame:
