@@ -18,14 +18,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.bytes import runs
+from tidemark.llm.bytes import lean, runs
 from tidemark.llm.common import position_in_group, table
 
 SEQUENCE = 2048
 #: Words whose ids a task keeps; it starts anew beyond that.
 KEPT_WORDS = 1_000_000
 #: Characters of text that are encoded at once, or one longer text.
-AT_ONCE = 1 << 20
+AT_ONCE = 4 << 20
 _CUT = "\x1f"
 #: Where white space meets white space, or a sign that cuts occurs, words are not independent: such texts are encoded whole.
 _WHOLE = r"[\s\p{Z}\x{0b}\x{85}]{2}|[\x{1c}-\x{1f}\x{85}]"
@@ -103,6 +103,7 @@ def pieces(docs: DataFrame, key: str, text: str, path: str, most: int = SEQUENCE
     """
     kind = docs.schema[key].dataType
 
+    @lean
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(path)
         for batch in batches:
