@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.bytes import _ODD, _ODD_INVERSE, AT_ONCE, flat, mix, powers, runs
+from tidemark.llm.bytes import _ODD, _ODD_INVERSE, flat, lean, mix, powers, runs
 from tidemark.llm.common import checkpoint, sieve
 
 LENGTH, GRAM = 200, 100
 #: Bytes of contexts in a shard, about; an anchor with more than half of it is split.
-SHARD = 2 << 20
+SHARD = 1 << 19
+#: Bytes of text whose anchors are looked for at once; one longer text is taken in stretches.
+AT_ONCE = 1 << 19
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -61,6 +63,7 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[n
 def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """texts (d, text) -> (d, pos, h, c); equal texts of a batch once."""
 
+    @lean
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             d = b.column(0).to_numpy()
@@ -68,7 +71,7 @@ def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
             first.sort()
             d = d[first]
             all_data, all_at = flat(b.column(1).take(pa.array(first)))
-            for lo, hi in runs(np.diff(all_at)):
+            for lo, hi in runs(np.diff(all_at), AT_ONCE):
                 whole, at = all_data[all_at[lo] : all_at[hi]], all_at[lo : hi + 1] - all_at[lo]
                 # A longer text in stretches that overlap enough for every context.
                 for core in range(0, max(len(whole), 1), AT_ONCE):
@@ -199,9 +202,8 @@ def _repeats_in_shard(length: int, gram: int):
         first[1:] = (of[hit[1:]] != of[hit[:-1]]) | (hit[1:] - hit[:-1] > length)
         firsts = np.flatnonzero(first)
         lasts = np.r_[firsts[1:] - 1, len(hit) - 1] if len(hit) else firsts
-        rows = [(d[of[hit[a]]], start[hit[a]], start[hit[z]] + length) for a, z in zip(firsts, lasts)]
-        n = len(rows)
-        columns = [np.array([r[k] for r in rows], np.int64) for k in range(3)] + [np.zeros(n, np.int64)] * 2 + [np.ones(n, bool), np.ones(n, bool)]
+        n = len(firsts)
+        columns = [d[of[hit[firsts]]], start[hit[firsts]], start[hit[lasts]] + length, *[np.zeros(n, np.int64)] * 2, *[np.ones(n, bool)] * 2]
         open_ = cand[split[of[cand]]]
         if len(open_):
             sums = np.zeros(len(data) + 1, np.uint64)
@@ -288,6 +290,7 @@ def dedup(docs: DataFrame, key: str, text: str, length: int = LENGTH, gram: int
     all_of_it = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), n_bytes.alias("end")))
     near = near.select("k", "text", F.when(whole, all_of_it).otherwise(F.coalesce("spans", no_spans)).alias("spans"))
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             merged, kept, sizes = [], [], []
