@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.bytes import AT_ONCE, flat, lowered
+from tidemark.llm.bytes import AT_ONCE, flat, lean, lowered, runs
 from tidemark.llm.common import checkpoint
 from tidemark.llm.url_filter import host_of
 
@@ -49,7 +49,7 @@ def _codes(data: np.ndarray) -> np.ndarray:
 def _windows(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(codes, text of each) piece by piece, so that one very long text takes no more memory; trigrams of a text only."""
     for low in range(0, max(len(data) - 2, 0), AT_ONCE):
-        code = _codes(data[low : low + AT_ONCE + 2])
+        code = _codes(lowered(data[low : low + AT_ONCE + 2]))
         first, third = (np.searchsorted(at, low + np.arange(len(code)) + k, "right") - 1 for k in (0, 2))
         keep = (first == third) & (code > 0)
         yield code[keep], first[keep]
@@ -63,12 +63,13 @@ def fit(docs: DataFrame, text: str, label: str, rows: int = FIT_ROWS) -> TextMod
         return TextModel([], np.zeros((0, BUCKETS), np.float32))
     sample = labelled.where(F.col("h") <= last).dropDuplicates(["l", "h"])
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             names = b.column(0).to_pylist()
             data, at = flat(b.column(1))
-            for code, of in _windows(lowered(data), at):
+            for code, of in _windows(data, at):
                 for name in set(names):
                     mine = np.array([x == name for x in names])[of]
                     sums[name] = sums.get(name, np.zeros(BUCKETS, np.int64)) + np.bincount(code[mine], minlength=BUCKETS)
@@ -88,16 +89,19 @@ def text_evidence(docs: DataFrame, text: str, model: TextModel, keep: dict[str,
     """The columns in keep, _n (trigrams) and _log_likelihood (array, a language each) for every row."""
     table, names, kinds = model.log_p, list(keep), [f for f in docs.select(*[c.alias(k) for k, c in keep.items()]).schema]
 
+    @lean
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, at = flat(b.column(0))
-            total, n = np.zeros((len(table), len(b))), np.zeros(len(b), np.int64)
-            for code, of in _windows(lowered(data), at):
-                n += np.bincount(of, minlength=len(b))
-                for k, row in enumerate(table):
-                    total[k] += np.bincount(of, row[code], minlength=len(b))
-            lists = pa.FixedSizeListArray.from_arrays(pa.array((total.T * TEMPER).ravel()), max(len(table), 1)).cast(pa.list_(pa.float64())) if len(table) else pa.array([[]] * len(b), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(n), lists], [*names, "_n", "_log_likelihood"])
+            data, all_at = flat(b.column(0))
+            for lo, hi in runs(np.diff(all_at)):
+                at, rows = all_at[lo : hi + 1] - all_at[lo], hi - lo
+                total, n = np.zeros((len(table), rows)), np.zeros(rows, np.int64)
+                for code, of in _windows(data[all_at[lo] : all_at[hi]], at):
+                    n += np.bincount(of, minlength=rows)
+                    for k, row in enumerate(table):
+                        total[k] += np.bincount(of, row[code], minlength=rows)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array((total.T * TEMPER).ravel()), max(len(table), 1)).cast(pa.list_(pa.float64())) if len(table) else pa.array([[]] * rows, pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*b.slice(lo, rows).columns[1:], pa.array(n), lists], [*names, "_n", "_log_likelihood"])
 
     from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
