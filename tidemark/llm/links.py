@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpoint, connected_components
 
-#: Rounds in which ids are tried with one other id of their bucket.
-ROUNDS = 3
+#: Rounds, at most, in which ids are tried with one other id of their bucket. They end early once they find little.
+ROUNDS = 6
+#: A round that links fewer than one in so many of the ids outside is the last one.
+LITTLE = 8
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
-    """members (bucket, id, no pair twice) of the buckets with two ids or more."""
-    shared = members.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
-    return checkpoint(members.join(shared, "bucket"))
+    """members (bucket, id, no pair twice) of the buckets with two ids or more, and hub: how often an id meets others."""
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = checkpoint(members.join(shared.hint("shuffle_hash"), "bucket"))
+    return checkpoint(members.join(members.groupBy("id").agg(F.sum("n").alias("hub")), "id").select("bucket", "id", "hub"))
 
 
 def linked_groups(
@@ -25,42 +28,59 @@ def linked_groups(
     near: Callable[[Column, Column], Column] | None = None,
     across: Callable[[DataFrame], DataFrame] | None = None,
     rounds: int = ROUNDS,
+    weight: Callable[[Column], Column] | None = None,
+    least: int = 1,
 ) -> DataFrame:
     """(node, component) over all true links among ids that share a bucket. members comes from shared_buckets().
 
     verify takes distinct pairs (a < b) and returns those that are links. First each id is tried with one id of each of
-    its buckets, taken by hash, which joins most of a large group in one row an id and bucket. Then only buckets whose
-    ids still are in several components matter. Ids outside a bucket's largest component are tried with one id inside
-    it, again by hash, for a few rounds; in the end, those still outside are tried with every id of other components.
-    A pair within a component would change nothing, so no link between components is lost.
+    its buckets, the one that meets most others (the text that a group's others were made from, say), which joins most of
+    a large group in one row an id and bucket. Then only buckets whose ids still are in several components matter. Ids
+    outside a bucket's largest component are tried with one id inside it, by hash, as long as that finds links; in the
+    end, those still outside are tried with every id of other components. A pair within a component would change
+    nothing, so no link between components is lost.
 
     near, if given, is a necessary condition on the two ids' column sig (of any type) and is tested before a pair is made.
     across, if given, makes the last candidates instead: from the ids of mixed buckets (bucket, id, part, largest)
     pairs (a, b) that hold every link between parts.
+    weight, if given, says what a bucket counts; pairs whose common buckets count less than `least` are no candidates.
     """
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     own = ["sig"] if near else []
-    rep_of = lambda k: [F.min_by(c, F.xxhash64("id", "bucket", F.lit(k))).alias(f"rep_{c}") for c in ["id", *own]]
+    by_hash = lambda k: F.xxhash64("id", F.lit(k))
+    rep_of = lambda order: [F.min_by(c, order).alias(f"rep_{c}") for c in ["id", *own]]
     fits = near(F.col("rep_sig"), F.col("sig")) if near else F.lit(True)
-    star = members.join(members.groupBy("bucket").agg(*rep_of(0)), "bucket").where((F.col("id") != F.col("rep_id")) & fits)
-    links = checkpoint(verify(star.select(*pair("rep_id", "id")).distinct()))
+
+    def candidates(rows: DataFrame, x: str, y: str) -> DataFrame:
+        if not weight:
+            return rows.select(*pair(x, y)).distinct()
+        rows = rows.select(*pair(x, y), weight(F.col("bucket")).alias("w"))
+        return rows.groupBy("a", "b").agg(F.sum("w").alias("w")).where(F.col("w") >= least).select("a", "b")
+
+    star = members.join(members.groupBy("bucket").agg(*rep_of(F.struct(-F.col("hub"), by_hash(0)))), "bucket").where((F.col("id") != F.col("rep_id")) & fits)
+    links = checkpoint(verify(candidates(star, "rep_id", "id")))
     left = members.select("bucket", "id", *own)
-    for k in range(1, rounds + 1):
+    last, done, k = rounds < 2, False, 0
+    while not done:
+        k, done = k + 1, last
         parts = checkpoint(connected_components(links))
         placed = left.join(parts.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", *own, F.coalesce("component", "id").alias("part"))
-        sizes = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"), *rep_of(k))
+        sizes = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"), *rep_of(by_hash(k)))
         mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "part", *[f"rep_{c}" for c in ["id", *own]])).alias("top"), F.count("*").alias("parts")).where("parts > 1")
         placed = placed.join(mixed, "bucket").select("bucket", "id", *own, "part", F.col("top.part").alias("largest"), *[F.col(f"top.rep_{c}").alias(f"rep_{c}") for c in ["id", *own]])
         placed = checkpoint(placed)
         few = placed.where("part != largest")
-        if k < rounds:
-            more = verify(few.where(fits).select(*pair("rep_id", "id")).distinct())
+        if not last:
+            more = checkpoint(verify(candidates(few.where(fits), "rep_id", "id")))
+            last = k + 1 == rounds or more.count() * LITTLE < few.select("id").distinct().count()
         elif across:
             more = verify(across(placed))
         else:
-            x, y = (t.select("bucket", *[F.col(c).alias(f"{c}_{e}") for c in ["id", "part", *own]]) for t, e in ((few, "x"), (placed, "y")))
+            x, y = (t.select("bucket", *[F.col(c).alias(f"{c}_{e}") for c in ["id", "part", "largest", *own]]) for t, e in ((few, "x"), (placed, "y")))
             on = near(F.col("sig_x"), F.col("sig_y")) if near else F.lit(True)
-            more = verify(x.join(y, "bucket").where((F.col("part_x") != F.col("part_y")) & on).select(*pair("id_x", "id_y")).distinct())
+            # A pair of two ids outside is there twice; once is enough.
+            one = (F.col("part_x") != F.col("part_y")) & ((F.col("part_y") == F.col("largest_y")) | (F.col("id_x") < F.col("id_y")))
+            more = verify(candidates(x.join(y, "bucket").where(one & on), "id_x", "id_y"))
         # The components so far, as stars, and what is new.
         links = checkpoint(parts.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
         left = placed.select("bucket", "id", *own)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.bytes import SPACES, flat, lowered, mix, runs, shingles, stretch_hashes, words
+from tidemark.llm.bytes import SPACES, flat, lean, lowered, mix, runs, shingles, stretch_hashes, words
 from tidemark.llm.common import checkpoint, table
 from tidemark.llm.links import linked_groups, shared_buckets
 
@@ -51,6 +51,7 @@ def sketches(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     digest is the text's MD5, set a 128-bit digest of its shingles, bands and packed null for empty sets.
     """
 
+    @lean
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
         for b in batches:
@@ -89,6 +90,7 @@ def sketches(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
 def _full_sets(texts: DataFrame, n: int) -> DataFrame:
     """(id, members): the sorted shingle hashes of texts (id, text), packed."""
 
+    @lean
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, at = flat(b.column(1))
@@ -116,6 +118,7 @@ def estimate(a: Column, b: Column) -> Column:
 def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, left, right) of packed sets with 100 * intersection >= percent * union."""
 
+    @lean
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = []
@@ -139,6 +142,7 @@ def _prefix_pairs(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
     """
     own = checkpoint(sets.join(ids, "id").select("id", "part", "members"))
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(RARITY_CELLS, np.int64)
         for b in batches:
@@ -152,6 +156,7 @@ def _prefix_pairs(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
         often[cell] = n
     shared = ids.sparkSession.sparkContext.broadcast(often)
 
+    @lean
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_of = shared.value
         for b in batches:
