@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.bytes import flat, lowered, runs, shingles, stretch_hashes, words
+from tidemark.llm.bytes import flat, lean, lowered, runs, shingles, stretch_hashes, words
 from tidemark.llm.common import checkpoint, table
 
 WINDOW, SHINGLE = 10, 5
@@ -33,6 +33,7 @@ def _split(data: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[str]:
 def item_windows(items: DataFrame, key: str, text: str, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """(item, w, length, hashes): each window's words joined by spaces, and its shingles' hashes in order."""
 
+    @lean
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, at = flat(b.column(1))
@@ -71,6 +72,7 @@ def find(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
         bits[at] = value
     shared = spark.sparkContext.broadcast(bits.view(np.uint64))
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_bits = shared.value
         for b in batches:
@@ -109,6 +111,7 @@ def find(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
     near = found.join(prefix, "h").where((start >= 0) & (start + F.col("length") <= F.col("n_words"))).select("_row", start.alias("start"), "w", "length")
     by_doc = near.groupBy("_row").agg(F.collect_set(F.struct("start", "length", "w")).alias("candidates"))  # of one text
 
+    @lean
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, at = flat(b.column(1))
