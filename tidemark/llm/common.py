@@ -31,6 +31,8 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """df as a compressed Parquet table in the shared folder. Unlike a checkpoint, it can be read column by column."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    # What was shuffled for it is no longer needed; Spark removes it when the driver's references are collected.
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, connected_components
+from tidemark.llm.common import checkpoint, connected_components, forget, table
 
 #: Rounds, at most, in which ids are tried with one other id of their bucket. They end early once they find little.
 ROUNDS = 6
@@ -16,10 +16,12 @@ LITTLE = 8
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
-    """members (bucket, id, no pair twice) of the buckets with two ids or more, and hub: how often an id meets others."""
+    """members (bucket, id, no pair twice; more columns stay) of the buckets with two ids or more, and hub: how often an id meets others."""
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = checkpoint(members.join(shared.hint("shuffle_hash"), "bucket"))
-    return checkpoint(members.join(members.groupBy("id").agg(F.sum("n").alias("hub")), "id").select("bucket", "id", "hub"))
+    met = table(members.join(shared.hint("shuffle_hash"), "bucket"), "met")
+    out = table(met.join(met.groupBy("id").agg(F.sum("n").alias("hub")), "id").drop("n"), "members")
+    forget(met)
+    return out
 
 
 def linked_groups(
@@ -68,7 +70,9 @@ def linked_groups(
         sizes = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"), *rep_of(by_hash(k)))
         mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "part", *[f"rep_{c}" for c in ["id", *own]])).alias("top"), F.count("*").alias("parts")).where("parts > 1")
         placed = placed.join(mixed, "bucket").select("bucket", "id", *own, "part", F.col("top.part").alias("largest"), *[F.col(f"top.rep_{c}").alias(f"rep_{c}") for c in ["id", *own]])
-        placed = checkpoint(placed)
+        before, placed = left, table(placed, "placed")
+        if k > 1:
+            forget(before)
         few = placed.where("part != largest")
         if not last:
             more = checkpoint(verify(candidates(few.where(fits), "rep_id", "id")))
@@ -84,4 +88,5 @@ def linked_groups(
         # The components so far, as stars, and what is new.
         links = checkpoint(parts.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
         left = placed.select("bucket", "id", *own)
+    forget(left)
     return connected_components(links)
