@@ -22,10 +22,12 @@ from tidemark.llm.common import checkpoint, sieve
 
 LENGTH, GRAM = 200, 100
 #: Bytes of contexts in a shard, about; an anchor with more than half of it is split.
-SHARD = 1 << 19
+SHARD = 1 << 20
 #: Bytes of text whose anchors are looked for at once; one longer text is taken in stretches.
 AT_ONCE = 1 << 19
 _PLACE = np.uint64((1 << 24) - 1)
+#: What a row of a shard's results is: a repeated stretch, a string of a split anchor, or a place that has it.
+DONE, STRING, PLACE = 0, 1, 2
 
 
 def anchors(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -203,34 +205,36 @@ def _repeats_in_shard(length: int, gram: int):
         firsts = np.flatnonzero(first)
         lasts = np.r_[firsts[1:] - 1, len(hit) - 1] if len(hit) else firsts
         n = len(firsts)
-        columns = [d[of[hit[firsts]]], start[hit[firsts]], start[hit[lasts]] + length, *[np.zeros(n, np.int64)] * 2, *[np.ones(n, bool)] * 2]
+        columns = [d[of[hit[firsts]]], start[hit[firsts]], start[hit[lasts]] + length, *[np.zeros(n, np.int64)] * 2]
+        # Of a split anchor, each distinct string once, and the places that no string of this shard repeats.
+        parts = [[*columns, np.full(n, DONE)]]
         open_ = cand[split[of[cand]]]
         if len(open_):
             sums = np.zeros(len(data) + 1, np.uint64)
             np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_ODD, len(data)), out=sums[1:])
-            string = mix((sums[open_ + length] - sums[open_]) * powers(_ODD_INVERSE, len(data) + 1)[open_]).astype(np.int64)
-            extra = [d[of[open_]], start[open_], start[open_] + length, h[of[open_]], string, np.zeros(len(open_), bool), whole[of[open_]]]
-            columns = [np.concatenate([x, y]) for x, y in zip(columns, extra)]
-        return pa.table([*map(pa.array, columns), pa.array(np.full(len(columns[0]), shard, np.int64))], names=["d", "start", "end", "h", "string", "done", "whole", "shard"])
+            # Equal strings follow each other in suffix order.
+            first = open_[common[open_] < length]
+            alone = cand[~again]
+            alone = alone[split[of[alone]] & ~whole[of[alone]]]
+            back = powers(_ODD_INVERSE, len(data) + 1)
+            for places, kind in ((first, STRING), (alone, PLACE)):
+                string = mix((sums[places + length] - sums[places]) * back[places]).astype(np.int64)
+                parts.append([d[of[places]], start[places], start[places] + length, h[of[places]], string, np.full(len(places), kind)])
+        columns = [np.concatenate(x) for x in zip(*parts)]
+        return pa.table([*map(pa.array, columns), pa.array(np.full(len(columns[0]), shard, np.int64))], names=["d", "start", "end", "h", "string", "kind", "shard"])
 
     return task
 
 
 def _merged(t: pa.Table) -> pa.Table:
-    """Strings of split anchors, those of one bucket: each shard's sorted run is searched in the run of all."""
-    string, shard = t.column("string").to_numpy(), t.column("shard").to_numpy()
-    h = t.column("h").to_numpy()
-    key = mix(string.astype(np.uint64) ^ mix(h.astype(np.uint64)))
-    every = np.sort(key)
-    found = np.zeros(len(key), bool)
-    for s in np.unique(shard):
-        own = np.flatnonzero(shard == s)
-        run = np.sort(key[own])
-        in_all = np.searchsorted(every, key[own], "right") - np.searchsorted(every, key[own])
-        in_own = np.searchsorted(run, key[own], "right") - np.searchsorted(run, key[own])
-        found[own] = in_all > in_own
-    keep = pa.array(found & ~t.column("whole").to_numpy())
-    return t.select(["d", "start", "end"]).filter(keep)
+    """The places of one bucket of split anchors whose string is in another shard's run too, by binary search in it."""
+    key = mix(t.column("string").to_numpy().astype(np.uint64) ^ mix(t.column("h").to_numpy().astype(np.uint64)))
+    kind, shard = t.column("kind").to_numpy(), t.column("shard").to_numpy()
+    every = np.sort(key[kind == STRING])  # a string once a shard
+    places = np.flatnonzero(kind == PLACE)
+    own = key[places]
+    times = np.searchsorted(every, own, "right") - np.searchsorted(every, own)
+    return t.select(["d", "start", "end"]).take(pa.array(places[times > 1]))
 
 
 def repeated_spans(docs: DataFrame, text: str, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -259,11 +263,11 @@ def repeated_spans(docs: DataFrame, text: str, length: int = LENGTH, gram: int =
     split = F.col("kinds") > room
     shard = F.when(split, F.xxhash64("h", salt)).otherwise(F.pmod(F.xxhash64("h"), F.lit(shards)))
     cut = each.select("h", "c", "d", "pos", off.alias("off"), F.substring("bytes", F.col("pos") - off + 1, off + F.lit(length)).alias("ctx"), "whole", split.alias("split"), shard.alias("shard"))
-    found = cut.groupBy("shard").applyInArrow(_repeats_in_shard(length, gram), "d long, start long, end long, h long, string long, done boolean, whole boolean, shard long")
+    found = cut.groupBy("shard").applyInArrow(_repeats_in_shard(length, gram), "d long, start long, end long, h long, string long, kind long, shard long")
     found = checkpoint(found)
-    open_ = found.where("not done").withColumn("bucket", F.pmod(F.xxhash64("h", "string"), F.lit(4 * shards + 64)))
+    open_ = found.where(F.col("kind") != DONE).withColumn("bucket", F.pmod(F.xxhash64("h", "string"), F.lit(4 * shards + 64)))
     across = open_.groupBy("bucket").applyInArrow(_merged, "d long, start long, end long")
-    spans = spans.unionByName(found.where("done").select("d", "start", "end")).unionByName(across)
+    spans = spans.unionByName(found.where(F.col("kind") == DONE).select("d", "start", "end")).unionByName(across)
     return spans.distinct().groupBy("d").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
