@@ -183,15 +183,17 @@ def test_simhash_of_lines_of_any_number_of_words(spark):
     import xxhash
 
     dice = random.Random(31)
-    rows = [(n, sentence(dice, n)) for n in (1, 2, 3, 14, 15, 16, 30, 127, 5000)] + [(9000, "long " * 8999 + "long")]
+    rows = [(n, sentence(dice, n)) for n in (1, 2, 127, 255, 256, 257, 511, 512, 513, 5000)] + [(9000, "long " * 8999 + "long")]
     df = spark.createDataFrame(rows, "n long, t string").withColumn("w", F.split("t", " "))
     want = {}
     for n, t in rows:
-        h = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in t.split(" ")]
-        if n > 15:
-            h = sorted(set(h), key=lambda x: x - (1 << 64) * (x >> 63))[:15]
-        want[n] = sum(1 << i for i in range(60) if 2 * sum(x >> i & 1 for x in h) > len(h))
-    assert {r["n"]: r["simhash"] for r in line_dedup.with_simhash(df, "w").collect()} == want
+        w = t.split(" ")
+        h = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in w]
+        h = [xxhash.xxh64_intdigest(y.encode(), seed=x) for x, y in zip(h, w[1:])] + h[-1:]
+        want[n] = sum(1 << i for i in range(64) if 2 * sum(x >> i & 1 for x in h) > n)
+    got = line_dedup.with_sketches(df, ["n"], "w").collect()
+    assert {r["n"]: r["simhash"] % (1 << 64) for r in got} == want
+    assert all(len(r["pairs"]) == line_dedup.SAMPLES for r in got)
 
 
 def test_suffix_order_is_the_sorted_order():
