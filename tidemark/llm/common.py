@@ -24,15 +24,21 @@ def shared_dir(spark: SparkSession) -> str:
 def checkpoint(df: DataFrame) -> DataFrame:
     """df written to the shared folder; a lost executor costs no earlier work."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    let_go(df.sparkSession)
+    return out
+
+
+def let_go(spark: SparkSession) -> None:
+    """Shuffled files that no plan refers to any more go at the driver's next collection: now, not in half an hour."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
     """df as a compressed Parquet table in the shared folder. Unlike a checkpoint, it can be read column by column."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    # What was shuffled for it is no longer needed; Spark removes it when the driver's references are collected.
-    df.sparkSession.sparkContext._jvm.System.gc()
+    let_go(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -62,7 +68,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     skewed. Self-links and nulls are ignored, an empty table gives an empty table.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    e, before = checkpoint(e), None
+    e, before = table(e, "edges"), None
     for _ in range(most_rounds):
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFFFF))).first()
         if now == before or not now[0]:
@@ -71,13 +77,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
                 .union(e.select(F.col("v"), F.col("v")).distinct())
                 .dropDuplicates(["node", "component"])
             )
-        before = now
+        before, old = now, e  # old's files go once the next round is written
         both = e.union(e.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         e = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = e.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).distinct()
-        e = checkpoint(e)
+        e = table(e.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).distinct(), "edges")
+        forget(old)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
