@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 
@@ -29,9 +30,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Seconds between two collections that let_go asks for.
+COLLECT_EVERY = 15.0
+_collected = [0.0]
+
+
 def let_go(spark: SparkSession) -> None:
-    """Shuffled files that no plan refers to any more go at the driver's next collection: now, not in half an hour."""
-    spark.sparkContext._jvm.System.gc()
+    """Shuffled files that no plan refers to any more go at the driver's next collection: soon, not in half an hour."""
+    if time.monotonic() - _collected[0] > COLLECT_EVERY:
+        spark.sparkContext._jvm.System.gc()
+        _collected[0] = time.monotonic()
 
 
 def table(df: DataFrame, name: str) -> DataFrame:

@@ -76,7 +76,7 @@ def linked_groups(
         few = placed.where("part != largest")
         if not last:
             more = checkpoint(verify(candidates(few.where(fits), "rep_id", "id")))
-            last = k + 1 == rounds or more.count() * LITTLE < few.select("id").distinct().count()
+            last = k + 1 == rounds or more.count() * LITTLE <= few.select("id").distinct().count()
         elif across:
             more = verify(across(placed))
         else:
