@@ -29,13 +29,18 @@ AT_ONCE = 4 << 20
 _CUT = "\x1f"
 #: Where white space meets white space, or a sign that cuts occurs, words are not independent: such texts are encoded whole.
 _WHOLE = r"[\s\p{Z}\x{0b}\x{85}]{2}|[\x{1c}-\x{1f}\x{85}]"
+#: A word without white space at its end, nor at its start other than one space: a line feed on either side stays apart.
+_APART = r"(?s)^ ?[^\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}](.*[^\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}])?$"
+#: Words that are encoded as lines of one text.
+LINES = 512
 
 
 class Encoder:
     """Token ids of texts by a byte-level BPE file of `tokenizers`, one word at a time.
 
     Such a tokenizer never joins across the start of " word" or across a line feed that stands alone, so each distinct
-    word is encoded once. Texts where that does not hold are encoded whole. Words are kept as Arrow strings.
+    word is encoded once, with others as lines of one text, whose ids are cut at the line feeds. Texts where that does
+    not hold are encoded whole. Words are kept as Arrow strings.
     """
 
     def __init__(self, path: str):
@@ -44,6 +49,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.forget()
 
     def forget(self) -> None:
@@ -51,18 +57,36 @@ class Encoder:
         self.ids = np.zeros(0, np.uint32)
         self.low = self.size = np.zeros(0, np.int64)
 
-    def _learn(self, words: pa.Array) -> None:
-        new, sizes = [], []
-        for k in range(0, len(words), 4096):
-            for e in self.tokenizer.encode_batch_fast(words.slice(k, 4096).to_pylist(), add_special_tokens=False):
-                ids = e.ids
-                new += ids
-                sizes.append(len(ids))
-        size = np.array(sizes, np.int64)
-        self.low = np.concatenate([self.low, len(self.ids) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.ids = np.concatenate([self.ids, np.array(new, np.uint32)])
-        self.words = pa.concat_arrays([self.words, words])
+    def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of them each word has)."""
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for ids in each for i in ids], np.uint32), np.array([len(ids) for ids in each], np.int64)
+
+    def _as_lines(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that match _APART. If the tokenizer joins one with a line feed, they are encoded one by one."""
+        if len(self.feed) != 1:
+            return self._one_by_one(words)
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        feeds = np.flatnonzero(ids == self.feed[0])
+        if len(feeds) != len(words) - 1:
+            return self._one_by_one(words)
+        return np.delete(ids, feeds), np.diff(np.r_[-1, feeds, len(ids)]) - 1
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Adds new words, and returns the slot of each."""
+        known = len(self.words)
+        apart = pc.match_substring_regex(words, _APART)
+        found = []
+        for some, encode, most in ((words.filter(apart), self._as_lines, LINES), (words.filter(pc.invert(apart)), self._one_by_one, 4096)):
+            self.words = pa.concat_arrays([self.words, some])
+            found += [encode(some.slice(k, most).to_pylist()) for k in range(0, len(some), most)]
+        if found:
+            size = np.concatenate([n for _, n in found])
+            self.low = np.concatenate([self.low, len(self.ids) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.ids = np.concatenate([self.ids, *(ids for ids, _ in found)])
+        lines = apart.to_numpy(zero_copy_only=False)
+        return known + np.where(lines, np.cumsum(lines), lines.sum() + np.cumsum(~lines)) - 1
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text (large strings, none null)."""
@@ -81,11 +105,10 @@ class Encoder:
         distinct = words.dictionary
         slot = pc.index_in(distinct, value_set=self.words)
         fresh = slot.is_null()
-        n_known = len(self.words)
-        self._learn(distinct.filter(fresh))
+        learned = self._learn(distinct.filter(fresh))
         slot = slot.fill_null(0).to_numpy().astype(np.int64)
         fresh = fresh.to_numpy(zero_copy_only=False)
-        slot[fresh] = n_known + np.arange(fresh.sum())
+        slot[fresh] = learned
         slots = slot[words.indices.to_numpy()]
         size = self.size[slots]
         ends = np.cumsum(size)
