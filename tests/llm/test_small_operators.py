@@ -143,6 +143,21 @@ def test_encoder_agrees_with_the_tokenizer_on_whole_texts():
             assert ids.tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("feed", [None, [], [12]])
+def test_new_words_get_their_own_slots(feed):
+    """Words that are lines of one text, and others, in any order; a tokenizer whose line feed is not one id, or never found."""
+    encode = packing.Encoder(tokenizer_path())
+    encode.feed = encode.feed if feed is None else feed
+    dice = random.Random(4)
+    words = list({"".join(dice.choices([" ", "a", "Wört", "\n", ".", "\t", "9"], k=dice.randrange(5))) for _ in range(300)})
+    for some in (words[:100], [], words[100:]):
+        slots = encode._learn(pa.array(some, pa.large_string()))
+        assert sorted(slots.tolist()) == list(range(len(encode.words) - len(some), len(encode.words)))
+        for word, k in zip(some, slots.tolist()):
+            assert encode.words[k].as_py() == word
+            assert encode.ids[encode.low[k] :][: encode.size[k]].tolist() == encode.tokenizer.encode(word, add_special_tokens=False).ids, repr(word)
+
+
 def test_packing(spark):
     docs = [(1, "a b " * 90), (2, None), (3, ""), (4, "x " * 31), (4, "x " * 31), (None, "y y y"), *[(10 + i, "w " * i) for i in range(40)]]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("length", F.lit("clash"))
