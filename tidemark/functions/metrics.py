@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranges import running_totals
+
 
 def clip(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.least(c, F.lit(high)), F.lit(low)))
@@ -18,7 +20,7 @@ def probability_metrics(df: DataFrame, y: str, p: str, by: list[str] | None = No
     """Brier, reference (always the rate), skill, scores, mean, deviation, and ROC AUC by average ranks, for each group.
 
     skill and scores are null if the reference is 0, AUC if there is one class only. Ranks come from counts of each
-    distinct probability, so a window runs over distinct values and not over rows.
+    distinct probability and running totals over ranges of them.
     """
     by = by or []
     c = clip(F.col(p))
@@ -28,10 +30,11 @@ def probability_metrics(df: DataFrame, y: str, p: str, by: list[str] | None = No
     skill = F.when(reference > 0, 1 - F.try_divide("brier", reference))
     one = one.select(*by, "n", "brier", reference.alias("reference"), skill.alias("skill"), (1e5 * skill).alias("raw_score"), F.greatest(1e5 * skill, F.lit(0.0)).alias("score"), "mean", "std")
     values = rows.groupBy(*by, "_p").agg(F.count("*").alias("m"), F.sum("_y").alias("pos"))
-    below = F.coalesce(F.sum("m").over(Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = values.select(*by, "m", "pos", ((below + (F.col("m") + 1) / 2) * F.col("pos")).alias("ranks"))
-    auc = ranked.groupBy(*by).agg(F.sum("ranks").alias("r"), F.sum("pos").alias("np"), (F.sum("m") - F.sum("pos")).alias("nn"))
-    area = F.try_divide(F.col("r") - F.col("np") * (F.col("np") + 1) / 2, F.col("np") * F.col("nn"))
+    run = running_totals(values, [*by, "_p"], {"below": "m"})
+    ranks = (F.col("below") + (F.col("m") + 1) / 2) * F.col("pos")
+    auc = run.groupBy(*by).agg(F.sum(ranks).alias("r"), F.min("below").alias("start"), F.sum("pos").alias("np"), (F.sum("m") - F.sum("pos")).alias("nn"))
+    # Totals run on from group to group: a group's ranks begin at its smallest one.
+    area = F.try_divide(F.col("r") - F.col("start") * F.col("np") - F.col("np") * (F.col("np") + 1) / 2, F.col("np") * F.col("nn"))
     auc = auc.select(*by, area.alias("auc"))
     return one.join(auc, by) if by else one.join(F.broadcast(auc))
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranges import exact_quantiles
+
 
 @dataclass(frozen=True)
 class RobustScaler:
@@ -19,10 +21,15 @@ class RobustScaler:
 
     @classmethod
     def fit(cls, df: DataFrame, columns: list[str]) -> RobustScaler:
-        first = df.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in columns], *[F.count_if(F.col(c).isNull()).alias(f"{c}_nulls") for c in columns]).first()
-        medians = {c: float(first[c] or 0.0) for c in columns}
-        spans = df.agg(*[F.percentile(F.coalesce(F.col(c), F.lit(medians[c])), F.array(F.lit(0.05), F.lit(0.95))).alias(c) for c in columns]).first()
-        return cls({c: (medians[c], *(spans[c] or (0.0, 0.0)), first[f"{c}_nulls"] > 0) for c in columns})
+        nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+        params = {}
+        for c in columns:
+            known = exact_quantiles(df, c, [0.5]).first()["quantiles"]
+            median = known[0] if known else 0.0
+            filled = df.select(F.coalesce(F.col(c), F.lit(median)).alias(c))
+            low, high = exact_quantiles(filled, c, [0.05, 0.95]).first()["quantiles"] or (0.0, 0.0)
+            params[c] = (median, low, high, nulls[c] > 0)
+        return cls(params)
 
     def transform(self, df: DataFrame) -> DataFrame:
         new: dict[str, Column] = {}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import rowlocal as R
+from tidemark.operators.ranges import exact_quantiles
 from tidemark.plans.common import FACTS, RATED, ROW_SQL, facts, r9, rated, rounded
 from tidemark.plans.frozen_queries import anchor_sql, anchored
 from tidemark.plans.registry import register
@@ -100,8 +101,16 @@ _MASKS = {f"{era}_{hand}": (era, hand) for era in ("recent", "old") for hand in
 @register("p11_regime_masks", f"WITH {RATED} SELECT {ROW_SQL}, " + ", ".join(r9(f"CASE WHEN gt = 'R' AND season {'>=' if e == 'recent' else '<'} {_RECENT} AND bhand = '{h}' THEN p_fast_rate END", "fast_" + n) for n, (e, h) in _MASKS.items()) + f", {r9(f"CASE WHEN gt = 'R' AND season >= {_RECENT} THEN {_block_sql('y')['range3']} END", 'range_recent')}, {r9(f"CASE WHEN gt = 'R' AND season < {_RECENT} THEN {_block_sql('y')['range3']} END", 'range_old')} FROM rated r")
 def p11(spark, sf_dir):
     df = rated(spark, sf_dir)
-    # The two smallest hands of the table; with fixed levels (P12) they are a parameter.
-    hands = sorted(r[0] for r in df.select("bhand").where("bhand is not null").distinct().limit(3).collect())[:2]
+    return _regimes(df, sorted(r[0] for r in df.select("bhand").where("bhand is not null").distinct().orderBy("bhand").limit(2).collect()))
+
+
+@register("p12_frozen_hands", f"WITH {RATED} SELECT {ROW_SQL}, " + ", ".join(r9(f"CASE WHEN gt = 'R' AND season {'>=' if e == 'recent' else '<'} {_RECENT} AND bhand = '{h}' THEN p_fast_rate END", f"fast_{e}_{h}") for e in ("recent", "old") for h in ("R", "S")) + f", {r9(f"CASE WHEN gt = 'R' AND season >= {_RECENT} THEN {_block_sql('y')['range3']} END", 'range_recent')}, {r9(f"CASE WHEN gt = 'R' AND season < {_RECENT} THEN {_block_sql('y')['range3']} END", 'range_old')} FROM rated r")
+def p12(spark, sf_dir):
+    """The levels of hands are given; a level that the table lacks has a column of nulls."""
+    return _regimes(rated(spark, sf_dir), ["R", "S"])
+
+
+def _regimes(df, hands):
     era = {"recent": F.col("season") >= _RECENT, "old": F.col("season") < _RECENT}
     fast = {f"fast_{e}_{h}": F.when((F.col("gt") == "R") & era[e] & (F.col("bhand") == h), F.col("p_fast_rate")) for e in era for h in hands}
     return _with(df, fast | {f"range_{e}": F.when((F.col("gt") == "R") & era[e], _block("y")["range3"]) for e in era})
@@ -114,7 +123,7 @@ _EDGES = "list_distinct(list_sort(quantile_cont(p_fast_rate, [0.0, 1/6, 2/6, 3/6
 SELECT {ROW_SQL}, CASE WHEN gt <> 'R' THEN 'NON_R' ELSE (CASE WHEN season >= {_RECENT} THEN 'RECENT' ELSE 'OLD' END) || '_R|H=' || bhand || '|FAST=' || CASE WHEN p_fast_rate IS NULL THEN 'MISS' ELSE 'Q' || len(list_filter(q[2:6], lambda x: round(x, 12) <= round(p_fast_rate, 12))) END END AS regime_cross FROM rated r, e""")
 def p13(spark, sf_dir):
     df = rated(spark, sf_dir)
-    edges = df.agg(F.percentile("p_fast_rate", F.array(*[F.lit(i / 6) for i in range(7)])).alias("q"))
+    edges = exact_quantiles(df, "p_fast_rate", [i / 6 for i in range(7)]).withColumnRenamed("quantiles", "q")
     # One row of seven numbers.
     df = df.join(F.broadcast(edges))
     code = R.quantile_code(F.round("p_fast_rate", 12), F.transform("q", lambda x: F.round(x, 12)))

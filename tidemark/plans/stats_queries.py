@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import metrics as M
 from tidemark.functions import rowlocal as R
 from tidemark.operators import ensemble as E
+from tidemark.operators.ranges import exact_quantiles
 from tidemark.operators.sequence import invert_prefix, own_event
 from tidemark.plans.common import FACTS, RATED, ROW_SQL, facts, r9, rated, rounded
 from tidemark.plans.registry import register
@@ -50,9 +51,9 @@ def a8(spark, sf_dir):
     return rounded(out, *out.columns, keys=[])
 
 
-@register("a9_weighted_mean", f"WITH {SCORED}, f AS (SELECT season, gt, avg((y - direct) * (y - direct)) AS b, CASE WHEN gt = 'R' THEN 0.7 ELSE 0.3 END AS w FROM scored WHERE season > 1995 OR gt = 'R' GROUP BY season, gt) SELECT season, {r9('sum(w * b) / sum(CASE WHEN b IS NOT NULL THEN w END)', 'weighted')}, {r9('sqrt(greatest(sum(w * b * b) / sum(w) - (sum(w * b) / sum(w)) * (sum(w * b) / sum(w)), 0))', 'weighted_std')} FROM f GROUP BY season")
+@register("a9_weighted_mean", f"WITH {SCORED}, f AS (SELECT season, gt, avg((y - direct) * (y - direct)) AS b, CASE WHEN gt = 'R' THEN 0.7 ELSE 0.3 END AS w FROM scored GROUP BY season, gt) SELECT season, {r9('sum(w * b) / sum(CASE WHEN b IS NOT NULL THEN w END)', 'weighted')}, {r9('sqrt(greatest(sum(w * b * b) / sum(w) - (sum(w * b) / sum(w)) * (sum(w * b) / sum(w)), 0))', 'weighted_std')} FROM f GROUP BY season")
 def a9(spark, sf_dir):
-    f = scored(spark, sf_dir).where("season > 1995 or gt = 'R'").groupBy("season", "gt").agg(M.brier(F.col("y"), F.col("direct")).alias("b"))
+    f = scored(spark, sf_dir).groupBy("season", "gt").agg(M.brier(F.col("y"), F.col("direct")).alias("b"))
     w = F.when(F.col("b").isNotNull(), F.when(F.col("gt") == "R", 0.7).otherwise(0.3))
     mean = F.sum(w * F.col("b")) / F.sum(w)
     out = f.groupBy("season").agg(mean.alias("weighted"), F.sqrt(F.greatest(F.sum(w * F.col("b") * F.col("b")) / F.sum(w) - mean * mean, F.lit(0.0))).alias("weighted_std"))
@@ -67,15 +68,17 @@ def a11(spark, sf_dir):
 
 @register("a12_quantile_edges", f"WITH {RATED}, q AS (SELECT quantile_cont(p_y_rate, [0.0, 1/6, 2/6, 3/6, 4/6, 5/6, 1.0]) AS e, quantile_cont(p_n, 0.5) AS median_n, quantile_cont(p_n, 0.95) AS p95_n FROM rated) SELECT i::int AS edge, {r9('e[i + 1]', 'value')}, {r9('median_n', 'median_n')}, {r9('p95_n', 'p95_n')} FROM q, range(7) t(i)")
 def a12(spark, sf_dir):
-    q = rated(spark, sf_dir).agg(F.percentile("p_y_rate", F.array(*[F.lit(i / 6) for i in range(7)])).alias("e"), F.percentile("p_n", F.lit(0.5)).alias("median_n"), F.percentile("p_n", F.lit(0.95)).alias("p95_n"))
+    df = rated(spark, sf_dir)
+    n = exact_quantiles(df, "p_n", [0.5, 0.95]).select(F.get("quantiles", F.lit(0)).alias("median_n"), F.get("quantiles", F.lit(1)).alias("p95_n"))
+    q = exact_quantiles(df, "p_y_rate", [i / 6 for i in range(7)]).withColumnRenamed("quantiles", "e").join(F.broadcast(n))  # a row each
     return rounded(q.select(F.posexplode("e").alias("edge", "value"), "median_n", "p95_n"), "edge", "value", "median_n", "p95_n", keys=[])
 
 
-@register("a14_group_mean_table", f"""WITH {FACTS}, c AS (SELECT *, CASE WHEN y = 1 THEN 0 WHEN reverse = 0 AND middle = 0 THEN 1 WHEN reverse = 1 AND middle = 0 THEN 2 WHEN reverse = 0 AND middle = 1 THEN 3 ELSE 4 END AS class FROM facts WHERE gt = 'R' OR season >= 1998),
+@register("a14_group_mean_table", f"""WITH {FACTS}, c AS (SELECT *, CASE WHEN y = 1 THEN 0 WHEN reverse = 0 AND middle = 0 THEN 1 WHEN reverse = 1 AND middle = 0 THEN 2 WHEN reverse = 0 AND middle = 1 THEN 3 ELSE 4 END AS class FROM facts),
 g AS (SELECT * FROM (VALUES ('R'), ('F')) d(gt), (VALUES (0), (1), (2), (3), (4), (5)) k(class)), m AS (SELECT gt, class, avg(ball) AS m FROM c GROUP BY 1, 2), dm AS (SELECT gt, avg(ball) AS m FROM c GROUP BY 1)
 SELECT g.gt, g.class, {r9('coalesce(m.m, dm.m, (SELECT avg(ball) FROM c))', 'mean')} FROM g LEFT JOIN m ON g.gt = m.gt AND g.class = m.class LEFT JOIN dm ON g.gt = dm.gt""")
 def a14(spark, sf_dir):
-    c = facts(spark, sf_dir).where("gt = 'R' or season >= 1998").withColumn("class", R.outcome_class(F.col("y"), F.col("reverse"), F.col("middle")))
+    c = facts(spark, sf_dir).withColumn("class", R.outcome_class(F.col("y"), F.col("reverse"), F.col("middle")))
     # A cell for each domain and class; two domains, six classes.
     grid = spark.createDataFrame([(d, k) for d in "RF" for k in range(6)], "gt string, class int")
     each = c.groupBy("gt", "class").agg(F.sum("ball").alias("s"), F.count("*").alias("n"))
@@ -149,22 +152,27 @@ def a20(spark, sf_dir):
     return rounded(out.select(F.coalesce("gt", F.lit("ALL")).alias("grouping"), "n", "brier", "delta"), "grouping", "n", "brier", "delta", keys=[])
 
 
-_INVERT = f"""{RATED}, t AS (SELECT * FROM rated WHERE l_linenumber <> 3),
+_INVERT = f"""{RATED}, t AS (SELECT * REPLACE (CASE WHEN l_linenumber <> 3 THEN p_y_rate END AS p_y_rate) FROM rated),
 s AS (SELECT *, coalesce(p_n = lag(p_n) OVER w + 1, false) AS step, p_n * coalesce(p_y_rate, CASE WHEN p_n = 0 THEN 0.0 END) AS hits FROM t WINDOW w AS (PARTITION BY p ORDER BY p_n, {_ORDER})),
 g AS (SELECT *, round_even(hits, 0) AS whole, coalesce(abs(hits - round_even(hits, 0)) <= 0.05, false) AS ok, sum((NOT step)::int) OVER (PARTITION BY p ORDER BY p_n, {_ORDER} ROWS UNBOUNDED PRECEDING) AS segment FROM s),
 e AS (SELECT *, CASE WHEN step AND ok AND lag(ok) OVER w AND whole - lag(whole) OVER w IN (0, 1) THEN whole - lag(whole) OVER w END AS previous, lag(y) OVER w AS truth FROM g WINDOW w AS (PARTITION BY p ORDER BY p_n, {_ORDER}))"""
 
 
+def gapped(spark, sf_dir):
+    """All rows, a part of them without a known rate: gaps in the sequences."""
+    return rated(spark, sf_dir).withColumn("p_y_rate", F.when(F.col("l_linenumber") != 3, F.col("p_y_rate")))
+
+
 @register("w8_prefix_inversion", f"WITH {_INVERT} SELECT {ROW_SQL}, r.segment::bigint AS segment, r.previous, " + ", ".join(f"lag(r.previous, {k - 1}) OVER v AS lag{k}" for k in (2, 3, 4, 5)) + ", " + ", ".join(f"round(avg(r.previous) OVER (PARTITION BY p, segment ORDER BY p_n, {_ORDER} ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW), 9) + 0.0 AS mean{k}" for k in (2, 3, 5, 10, 20, 30, 50)) + f" FROM e r WINDOW v AS (PARTITION BY p, segment ORDER BY p_n, {_ORDER})")
 def w8(spark, sf_dir):
-    out = invert_prefix(rated(spark, sf_dir).where("l_linenumber != 3"), "p", "p_n", "p_y_rate", ORDER)
+    out = invert_prefix(gapped(spark, sf_dir), "p", "p_n", "p_y_rate", ORDER)
     return rounded(out, "segment", "previous", *[f"lag{k}" for k in (2, 3, 4, 5)], *[f"mean{k}" for k in (2, 3, 5, 10, 20, 30, 50)])
 
 
 @register("a21_reconstruction_audit", f"WITH {_INVERT} SELECT coalesce(season::varchar, 'ALL') AS season, count(*) FILTER (step) AS eligible, count(previous) AS used, {r9('count(previous) / nullif(count(*) FILTER (step), 0)', 'coverage')}, count(*) FILTER (previous = truth) AS exact, {r9('count(*) FILTER (previous = truth) / nullif(count(previous), 0)', 'accuracy')} FROM e GROUP BY ROLLUP (season)")
 def a21(spark, sf_dir):
     w = Window.partitionBy("p").orderBy("p_n", *ORDER)
-    df = rated(spark, sf_dir).where("l_linenumber != 3")
+    df = gapped(spark, sf_dir)
     out = invert_prefix(df, "p", "p_n", "p_y_rate", ORDER, windows=()).withColumns({"truth": F.lag("y").over(w), "step": F.coalesce(F.col("p_n") == F.lag("p_n").over(w) + 1, F.lit(False))})
     exact = F.count_if(F.col("previous") == F.col("truth"))
     out = out.rollup("season").agg(F.count_if("step").alias("eligible"), F.count("previous").alias("used"), F.try_divide(F.count("previous"), F.count_if("step")).alias("coverage"), exact.alias("exact"), F.try_divide(exact, F.count("previous")).alias("accuracy"))
@@ -200,7 +208,10 @@ def w13(spark, sf_dir):
 @register("a22_anchor_shares", f"WITH {RATED} SELECT season, count(*) AS n, {r9('avg((p_n > 0)::int)', 'seen_share')}, {r9('avg((p_y_rate IS NOT NULL)::int)', 'rate_share')}, {r9('quantile_cont(p_n, 0.5)', 'median_n')} FROM rated GROUP BY season")
 def a22(spark, sf_dir):
     share = lambda c: F.avg(c.cast("int"))
-    out = rated(spark, sf_dir).groupBy("season").agg(F.count("*").alias("n"), share(F.col("p_n") > 0).alias("seen_share"), share(F.col("p_y_rate").isNotNull()).alias("rate_share"), F.percentile("p_n", F.lit(0.5)).alias("median_n"))
+    df = rated(spark, sf_dir)
+    out = df.groupBy("season").agg(F.count("*").alias("n"), share(F.col("p_n") > 0).alias("seen_share"), share(F.col("p_y_rate").isNotNull()).alias("rate_share"))
+    median = exact_quantiles(df, "p_n", [0.5], by=["season"]).select("season", F.get("quantiles", F.lit(0)).alias("median_n"))
+    out = out.join(median, "season", "left")
     return rounded(out, *out.columns, keys=[])
 
 
