@@ -17,10 +17,10 @@ def blend_weights(df: DataFrame, y: str, direct: str, other: str, domain: str) -
     return m.select(domain, F.when(F.col("d") > 0, F.greatest(F.least(ratio, F.lit(1.0)), F.lit(0.0))).otherwise(0.0).alias("weight"))
 
 
-def blend(df: DataFrame, weights: DataFrame, direct: str, other: str, domain: str) -> Column:
+def blend(df: DataFrame, weights: DataFrame, direct: str, other: str, domain: str) -> DataFrame:
     """df with blend = (1 - weight) * direct + weight * other; domains without a weight keep direct. weights: one row a domain."""
     w = F.coalesce("weight", F.lit(0.0))
-    return df.join(F.broadcast(weights), domain, "left").withColumn("blend", F.col(direct) + w * (F.col(other) - F.col(direct)))
+    return df.join(weights, domain, "left").withColumn("blend", F.col(direct) + w * (F.col(other) - F.col(direct)))
 
 
 def moments(df: DataFrame, y: str, candidates: list[str], domain: str) -> dict:
@@ -55,12 +55,13 @@ def simplex_weights(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
     return best
 
 
-def simplex_blend(df: DataFrame, y: str, candidates: list[str], domain: str, domains: tuple[str, ...] = ("R", "F"), out: str = "blend") -> tuple[DataFrame, dict]:
-    """df with out, the candidates weighted per domain; null outside domains. Also the weights."""
+def simplex_blend(df: DataFrame, y: str, candidates: list[str], domain: str, domains: tuple[str, ...] = ("R", "F"), out: str = "blend", rest: bool = False) -> tuple[DataFrame, dict]:
+    """df with out, the candidates weighted per domain; outside domains null or, with rest, by the mean of their weights. Also the weights."""
     weights = {d: simplex_weights(g, c) for d, (g, c, _) in moments(df.where(F.col(domain).isin(*domains)), y, candidates, domain).items()}
-    value = F.lit(None).cast("double")
+    weighted = lambda w: sum((F.lit(float(x)) * F.col(c) for x, c in zip(w, candidates)), F.lit(0.0))
+    value = weighted(np.mean(list(weights.values()), axis=0)) if rest and weights else F.lit(None).cast("double")
     for d, w in weights.items():
-        value = F.when(F.col(domain) == d, sum(F.lit(float(x)) * F.col(c) for x, c in zip(w, candidates))).otherwise(value)
+        value = F.when(F.col(domain) == d, weighted(w)).otherwise(value)
     return df.withColumn(out, value), weights
 
 
@@ -69,3 +70,48 @@ def mixed(direct: Column, reverse: Column, middle: Column, gate: Column, cond: C
     independent = F.greatest(F.least(1 - reverse - middle + c * reverse * middle, F.lit(1.0)), F.lit(0.0))
     both = share * independent + (1 - share) * gate
     return {"independent": independent, "gate": both, "logic": both * cond}
+
+
+def core_and_final(df: DataFrame, y: str, mixed_: str, offset: str, joint: str, structured: str, domain: str) -> tuple[DataFrame, dict]:
+    """df with safe, a simplex blend of three models per domain, and final, one of safe and a fourth. Also both weights."""
+    safe, first = simplex_blend(df, y, [mixed_, offset, joint], domain, out="safe")
+    final, second = simplex_blend(safe, y, ["safe", structured], domain, out="final")
+    return final, {"safe": first, "final": second}
+
+
+def gate_grid(df: DataFrame, y: str, direct: str, reverse: list[str], middle: list[str], cond: list[str], cs: list[float], domain: str) -> DataFrame:
+    """(reverse, middle, cond: places in their lists, c, n, brier) of every candidate, each blended in closed form per domain.
+
+    logic = clip(1 - r - m + c r m) * cond. Rows meet the grid where they are read and leave as three sums a candidate
+    and domain, so the grid is shuffled and the rows are not.
+    """
+    trees = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k"), F.col(r).alias("r"), F.col(m).alias("m"), F.col(p).alias("p")) for i, r in enumerate(reverse) for j, m in enumerate(middle) for k, p in enumerate(cond)])
+    rows = df.select(domain, (F.col(y) - F.col(direct)).alias("_e"), F.col(direct).alias("_q"), F.explode(trees).alias("t"))
+    rows = rows.select("*", F.explode(F.array(*[F.lit(float(c)) for c in cs])).alias("c"))
+    gate = F.greatest(F.least(1 - F.col("t.r") - F.col("t.m") + F.col("c") * F.col("t.r") * F.col("t.m"), F.lit(1.0)), F.lit(0.0))
+    d = gate * F.col("t.p") - F.col("_q")
+    sums = rows.groupBy(domain, F.col("t.i").alias("reverse"), F.col("t.j").alias("middle"), F.col("t.k").alias("cond"), "c")
+    sums = sums.agg(F.count("*").alias("n"), F.sum(F.col("_e") * F.col("_e")).alias("ee"), F.sum(F.col("_e") * d).alias("ed"), F.sum(d * d).alias("dd"))
+    w = F.when(F.col("dd") > 0, F.greatest(F.least(F.try_divide("ed", "dd"), F.lit(1.0)), F.lit(0.0))).otherwise(0.0)
+    loss = F.col("ee") - 2 * w * F.col("ed") + w * w * F.col("dd")
+    return sums.groupBy("reverse", "middle", "cond", "c").agg(F.sum("n").alias("n"), (F.sum(loss) / F.sum("n")).alias("brier"))
+
+
+def audit(df: DataFrame, reference: DataFrame, key: list[str], y: str, names: list[str]) -> DataFrame:
+    """(name, n, mae, rmse, max_abs): each of df's columns against the reference's, joined by key; both must hold the same rows.
+
+    unmatched counts keys that one side lacks, different_labels those whose labels are not the same.
+    """
+    right = reference.select(*key, F.col(y).alias("_y"), *[F.col(c).alias(f"_r_{c}") for c in names])
+    both = df.select(*key, F.col(y).alias("_x"), *names, F.lit(1).alias("_left")).join(right.withColumn("_right", F.lit(1)), key, "full")
+    unmatched = F.count_if(F.col("_left").isNull() | F.col("_right").isNull())
+    labels = F.count_if(F.col("_left").isNotNull() & F.col("_right").isNotNull() & ~F.col("_x").eqNullSafe(F.col("_y")))
+    d = {c: F.abs(F.col(c) - F.col(f"_r_{c}")) for c in names}
+    each = [F.struct(F.lit(c).alias("name"), F.count(x).alias("n"), F.avg(x).alias("mae"), F.sqrt(F.avg(x * x)).alias("rmse"), F.max(x).alias("max_abs")).alias(f"_a{i}") for i, (c, x) in enumerate(d.items())]
+    one = both.agg(unmatched.alias("unmatched"), labels.alias("different_labels"), *each)
+    return one.select(F.explode(F.array(*[f"_a{i}" for i in range(len(names))])).alias("x"), "unmatched", "different_labels").select("x.*", "unmatched", "different_labels")
+
+
+def within(brier: Column, expected: float, tolerance: float = 5e-6) -> Column:
+    """Whether a score is as near to the expected one as the tolerance says; null counts as far."""
+    return F.coalesce(F.abs(brier - expected) <= tolerance, F.lit(False))

@@ -32,11 +32,17 @@ def require_invariants(df: DataFrame, rules: dict[str, str]) -> DataFrame:
     return df
 
 
-def require_predictions(df: DataFrame, sample: DataFrame, key: str, value: str) -> DataFrame:
-    """sample's keys with their value, or ValueError if one is missing, not finite or outside [0, 1]. Of equal keys one counts."""
-    out = sample.select(key).join(df.groupBy(key).agg(F.max(value).alias(value)), key, "left")
+def require_predictions(df: DataFrame, sample: DataFrame, key: str, value: str, version: str | None = None) -> DataFrame:
+    """sample's keys with their value, or ValueError if one is missing, not finite or outside [0, 1].
+
+    Of repeated keys the row with the largest version counts; without `version` a repeated key is an error too.
+    """
+    newest = F.max_by(value, version) if version else F.max(value)
+    each = df.groupBy(key).agg(newest.alias(value), F.count("*").alias("_times"))
+    out = sample.select(key).join(each, key, "left")
     good = F.coalesce(F.col(value).between(0, 1), F.lit(False))
-    return require_invariants(out.withColumn("_good", good), {"in [0, 1]": "_good"}).drop("_good")
+    once = F.lit(True) if version else F.coalesce(F.col("_times") == 1, F.lit(True))
+    return require_invariants(out.withColumns({"_good": good, "_once": once}), {"in [0, 1]": "_good", "one row a key": "_once"}).drop("_good", "_once", "_times")
 
 
 def nulls_for_nan(df: DataFrame) -> DataFrame:
