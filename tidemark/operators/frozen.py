@@ -68,7 +68,7 @@ def global_prior(df: DataFrame, target: str = "y", where: str | None = None, fir
     each = df.groupBy(period).agg(F.count(F.when(on, 1)).alias("_n"), F.coalesce(F.sum(F.when(on, F.col(target))), F.lit(0)).alias("_s"))
     w = Window.orderBy(period).rangeBetween(Window.unboundedPreceding, -1)  # a row a period
     state = each.select(period, F.coalesce(F.try_divide(F.sum("_s").over(w).cast("double"), F.sum("_n").over(w).cast("double")), F.lit(first)).alias(name))
-    return df.join(F.broadcast(state), period)
+    return df.join(state, period)
 
 
 def domain_paths(df: DataFrame, entity: str, domain: str = "gt", target: str = "y", values: tuple[str, str] = ("R", "F"), period: str = "season") -> DataFrame:

@@ -2,18 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir or, where that is unset, to one in the warehouse."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir or, where that is unset, one in the warehouse."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
+    return spark.sparkContext.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def bound(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, for rows that several aggregates read a few columns of.
+
+    What made the rows (joins, windows) runs once, and a lost executor costs none of it. The table stays until the
+    folder is cleaned.
+    """
+    path = f"{shared_folder(df.sparkSession)}/bound-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def running_totals(df: DataFrame, order: list[str | Column], sums: dict[str, str]) -> DataFrame:
     """Adds, for each {out: column}, the sum of the column over the rows before; order must tell all rows apart.
 

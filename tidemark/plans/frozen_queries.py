@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.frozen import Profile, domain_paths, frozen_profiles, global_prior, latest_snapshot, team_paths
+from tidemark.operators.ranges import bound
 from tidemark.plans.common import FACTS, RATED, ROW, ROW_SQL, rated, rounded
 from tidemark.plans.registry import register
 
@@ -33,7 +34,17 @@ SPECS: dict[str, list[tuple[tuple[str, ...], str, float]]] = {
 AUX_KEYS = [("p", "bhand"), ("p", "balls", "strikes"), ("p", "bhand", "balls", "strikes"), ("p", "r1", "r2", "r3", "outs")]
 
 
+#: What is added to the key sets of the first three of AUX_KEYS by each extra.
+EXTRAS = {"gt": ("gt",), "inning": ("inning",), "both": ("gt", "inning")}
+BATTER_KEYS = [("b", "phand"), ("b", "balls", "strikes"), ("b", "phand", "balls", "strikes"), ("b", "r1", "r2", "r3", "outs")]
+
+
 def profiles_of(name: str) -> list[Profile]:
+    if name.startswith("z9_aux_"):
+        more = EXTRAS[name.removeprefix("z9_aux_")]
+        return [Profile(f"k{i}_{t}", (*k, *more), f"p_{t}_rate", 100, t) for i, k in enumerate(AUX_KEYS[:3]) for t in ("reverse", "middle", "ball", "strike")]
+    if name == "z10_conditional_both_sides":
+        return [Profile(f"k{i}", k, "prior", 100, "y", "reverse = 0 AND middle = 0") for i, k in enumerate([*AUX_KEYS, *BATTER_KEYS])]
     if name == "z9_frozen_aux":
         return [Profile(f"k{i}_{t}", k, f"p_{t}_rate", 100, t) for i, k in enumerate(AUX_KEYS) for t in ("reverse", "middle", "ball", "strike")]
     if name == "z10_frozen_conditional":
@@ -75,10 +86,11 @@ def _add(name: str) -> None:
     @register(name, sql)
     def query(spark, sf_dir: str) -> DataFrame:
         df = global_prior(rated(spark, sf_dir), where="reverse = 0 AND middle = 0") if name.startswith("z10") else source(spark, sf_dir)
-        return rounded(frozen_profiles(df, own), *columns)
+        needed = dict.fromkeys([*ROW, *(c for p in own for c in (*p.keys, p.base, p.target)), "reverse", "middle"])
+        return rounded(frozen_profiles(bound(df.select(*needed)), own), *columns)
 
 
-for _name in [*SPECS, "z9_frozen_aux", "z10_frozen_conditional"]:
+for _name in [*SPECS, "z9_frozen_aux", *[f"z9_aux_{x}" for x in EXTRAS], "z10_frozen_conditional", "z10_conditional_both_sides"]:
     _add(_name)
 
 RATES = ["y", "reverse", "middle", "ball", "strike"]
@@ -127,12 +139,14 @@ def _anchor_columns(entity: str, rates: list[str]) -> list[str]:
 
 @register("z11_frozen_anchor", anchor_sql("p", RATES, 0.05))
 def z11(spark, sf_dir: str) -> DataFrame:
-    return rounded(anchored(rated(spark, sf_dir), "p", RATES, 0.05), *_anchor_columns("p", RATES))
+    df = bound(rated(spark, sf_dir).select(*ROW, "p", "p_n", *[f"p_{x}_rate" for x in RATES]))
+    return rounded(anchored(df, "p", RATES, 0.05), *_anchor_columns("p", RATES))
 
 
 @register("z12_batter_anchor", anchor_sql("b", ["y", "middle"], None))
 def z12(spark, sf_dir: str) -> DataFrame:
-    return rounded(anchored(rated(spark, sf_dir), "b", ["y", "middle"], None), *_anchor_columns("b", ["y", "middle"]))
+    df = bound(rated(spark, sf_dir).select(*ROW, "b", "b_n", "b_y_rate", "b_middle_rate"))
+    return rounded(anchored(df, "b", ["y", "middle"], None), *_anchor_columns("b", ["y", "middle"]))
 
 
 def _path_sql(e: str) -> str:
