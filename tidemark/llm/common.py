@@ -68,6 +68,19 @@ def crc32_of_text(c: Column) -> Column:
     return F.crc32(F.coalesce(c, F.lit("")).cast("binary"))
 
 
+#: DuckDB's common table expressions for crc32_sql, to stand after `with recursive`; its one row is joined as `lookup`.
+CRC32_LOOKUP = """rounds(i, c, k) as (
+  select i, i, 0 from range(256) t(i) union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from rounds where k < 8
+), lookup as (select list(c order by i) as tab from rounds where k = 8)"""
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB's expression of the unsigned CRC-32 of a text's UTF-8 bytes, which DuckDB lacks."""
+    byte = f"('0x' || substr(hex(encode({text})), 2 * i - 1, 2))::bigint"
+    all_bytes = f"list_transform(range(1, octet_length(encode({text})) + 1), lambda i: {byte})"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {all_bytes}), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295::bigint)"
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node reachable.
 

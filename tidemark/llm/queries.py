@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, decontamination, language_id, license_scan, line_dedup, near_dedup, packing, sharding, suffix_dedup, url_filter
+from tidemark.llm import ann, conversation, decontamination, language_id, license_scan, line_dedup, near_dedup, packing, repetition, sharding, spelling, suffix_dedup, url_filter
 from tidemark.llm.common import crc32_of_text
 
 
@@ -75,9 +75,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, "text", {"doc_id": F.col("doc_id")}, declared=F.col("lang"), host=F.col("source"), label="lang")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    columns = ("conv_id", "turn", "role", "text")
+    return conversation.repair_all(rows, conversation.damage(rows, *columns), *columns)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repetition.judge(_read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered", "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.sql(URL_RULES), "op4_license_scan": license_scan.sql()}
+    return {"op1_url_filter": url_filter.sql(URL_RULES), "op4_license_scan": license_scan.sql(), "op11_conversation_repair": conversation.sql(), "op12_spelling_variants": spelling.sql(), "op13_quality_rules": repetition.sql()}
