@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,27 +24,65 @@ class Profile:
 def frozen_profiles(df: DataFrame, profiles: list[Profile], period: str = "season") -> DataFrame:
     """Adds {name}_logn, {name}_rate and {name}_delta for each profile; null for keys not seen in an earlier period.
 
-    Profiles of one key set share an aggregate, a running sum over periods and a join: a row a key and period is all
-    that is windowed, and every (key, period) of df has one, so the join back is a plain equi-join. Null keys match
+    Key sets that begin with the same entity share everything: one expanded aggregate to a row a (set, key, period), one
+    running sum over periods, and one join back on (entity, period), whose right side holds the entity's states by what
+    else is in their keys. So rows are shuffled once an entity, however many key sets it has. The other keys should be
+    contexts of few values; an entity's only key set may have any and is joined on the whole key. Null keys match
     nothing. A profile with a condition has state only where a qualifying row came before.
     """
-    out = df
-    for keys in dict.fromkeys(p.keys for p in profiles):
-        own = [p for p in profiles if p.keys == keys]
-        on = lambda p: F.expr(p.where) if p.where else F.lit(True)
+    measures: dict[tuple[str, str | None], str] = {}
+    for p in profiles:
+        measures.setdefault((p.target, p.where), f"_m{len(measures)}")
+    out, found = df, {}
+    for side in dict.fromkeys(p.keys[0] for p in profiles):
+        sets = list(dict.fromkeys(p.keys for p in profiles if p.keys[0] == side))
+        used = dict.fromkeys(measures[p.target, p.where] for p in profiles if p.keys[0] == side)
+        own = {m: k for k, m in measures.items() if m in used}
         sums: list[Column] = []
-        for p in own:
-            sums += [F.count(F.when(on(p), 1)).alias(f"_n_{p.name}"), F.coalesce(F.sum(F.when(on(p), F.col(p.target))), F.lit(0)).alias(f"_s_{p.name}")]
-        each = df.groupBy(*keys, period).agg(*sums)
-        w = Window.partitionBy(*keys).orderBy(period).rangeBetween(Window.unboundedPreceding, -1)
-        state = each.select(*keys, period, *[F.sum(f"_{x}_{p.name}").over(w).alias(f"_{x}_{p.name}") for p in own for x in "ns"])
-        out = out.join(state, [*keys, period], "left")
-    new = []
+        for m, (target, where) in own.items():
+            on = F.expr(where) if where else F.lit(True)
+            sums += [F.count(F.when(on, 1)).alias(f"{m}n"), F.coalesce(F.sum(F.when(on, F.col(target))), F.lit(0)).alias(f"{m}s")]
+        keys = list(dict.fromkeys(k for s in sets for k in s))
+        if len(sets) == 1:
+            each = df.groupBy(*keys, period).agg(*sums).withColumn("_set", F.lit(0))
+        else:
+            each = df.groupingSets([[F.col(k) for k in (*s, period)] for s in sets], *keys, period).agg(*sums, F.grouping_id().alias("_gid"))
+            # Bit of a column that a set does not have: 1, the first column's the highest.
+            gid = {s: sum(1 << (len(keys) - i) for i, k in enumerate(keys) if k not in s) for s in sets}
+            each = each.withColumn("_set", functools.reduce(lambda a, i: a.when(F.col("_gid") == gid[sets[i]], i), range(len(sets)), F).cast("int"))
+        w = Window.partitionBy("_set", *keys).orderBy(period).rangeBetween(Window.unboundedPreceding, -1)
+        state = each.select("_set", *keys, period, *[F.sum(f"{m}{x}").over(w).alias(f"{m}{x}") for m in own for x in "ns"])
+        state = state.where(functools.reduce(lambda a, b: a | b, [F.col(f"{m}n") > 0 for m in own]))
+        value = F.struct(*[F.col(f"{m}{x}") for m in own for x in "ns"])
+        if len(sets) == 1:
+            out = out.join(state.select(*keys, period, value.alias(f"_v_{side}")), [*keys, period], "left")
+            found[sets[0]] = F.col(f"_v_{side}")
+            continue
+        by = state.select(side, period, _rest(F.col("_set"), functools.reduce(lambda a, i: a.when(F.col("_set") == i, _said(sets[i][1:])), range(len(sets)), F)).alias("_k"), value.alias("_v")).where("_k is not null")
+        nested = by.groupBy(side, period).agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias(f"_v_{side}"))
+        out = out.join(nested, [side, period], "left")
+        for i, s in enumerate(sets):
+            found[s] = F.try_element_at(F.col(f"_v_{side}"), _rest(F.lit(i), _said(s[1:])))
+    new = {f"_f{i}": found[s] for i, s in enumerate(found)}
+    place = {s: f"_f{i}" for i, s in enumerate(found)}
+    out = out.select(*df.columns, *[c.alias(n) for n, c in new.items()])
+    made = []
     for p in profiles:
-        n = F.when(F.col(f"_n_{p.name}") > 0, F.col(f"_n_{p.name}"))
-        rate = (F.col(f"_s_{p.name}") + p.k * F.col(p.base)) / (n + p.k)
-        new += [F.log1p(n).alias(f"{p.name}_logn"), rate.alias(f"{p.name}_rate"), (rate - F.col(p.base)).alias(f"{p.name}_delta")]
-    return out.select(*df.columns, *new)
+        m = measures[p.target, p.where]
+        n = F.when(F.col(place[p.keys])[f"{m}n"] > 0, F.col(place[p.keys])[f"{m}n"])
+        rate = (F.col(place[p.keys])[f"{m}s"] + p.k * F.col(p.base)) / (n + p.k)
+        made += [F.log1p(n).alias(f"{p.name}_logn"), rate.alias(f"{p.name}_rate"), (rate - F.col(p.base)).alias(f"{p.name}_delta")]
+    return out.select(*df.columns, *made)
+
+
+def _said(rest: tuple[str, ...]) -> Column:
+    """The other keys as one text, null if one is null; lengths keep them apart."""
+    parts = [F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")) for c in rest]
+    return F.concat(F.lit(""), *parts)
+
+
+def _rest(which: Column, said: Column) -> Column:
+    return F.concat(which.cast("string"), F.lit("|"), said)
 
 
 def latest_snapshot(df: DataFrame, entity: str, n: str, values: list[str], order: list[str], period: str = "season", prefix: str = "anchor") -> DataFrame:

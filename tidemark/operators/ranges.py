@@ -32,18 +32,33 @@ def bound(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def running_totals(df: DataFrame, order: list[str | Column], sums: dict[str, str]) -> DataFrame:
-    """Adds, for each {out: column}, the sum of the column over the rows before; order must tell all rows apart.
+def unbound(df: DataFrame) -> None:
+    """Removes the table that bound() has written, once nothing that is still to run reads it."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.rsplit("/", 1)[-1].startswith("bound-"):
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-    Rows are dealt to ranges of the order, summed within a range, and what earlier ranges hold is added: the only window
-    without a key runs over one row a range. The ranges are written first, as they are sampled and must not change.
+
+def running_totals(df: DataFrame, order: list[str | Column], sums: dict[str, str], by: list[str] | None = None) -> DataFrame:
+    """Adds, for each {out: column}, the sum of the column over the rows before (with `by`, those of the same group).
+
+    order must tell all rows apart. Rows are dealt to ranges of the order, summed within a range, and what earlier ranges
+    hold is added: a window sees one range's rows, or one row a range (and group), however large a group is. The ranges
+    are written first, as they are sampled and must not change.
     """
+    by = by or []
     ranged = checkpointed(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    each = ranged.groupBy("_range").agg(*[F.sum(c).alias(f"_sum_{o}") for o, c in sums.items()])
-    starts = each.select("_range", *[before(Window.orderBy("_range"), f"_sum_{o}").alias(f"_start_{o}") for o in sums])
-    inside = ranged.select("*", *[before(Window.partitionBy("_range").orderBy(*order), c).alias(f"_in_{o}") for o, c in sums.items()])
-    return inside.join(starts, "_range").select(*df.columns, *[(F.col(f"_start_{o}") + F.col(f"_in_{o}")).alias(o) for o in sums])
+    each = ranged.groupBy("_range", *by).agg(*[F.sum(c).alias(f"_sum_{o}") for o, c in sums.items()])
+    along = Window.partitionBy(*by).orderBy("_range") if by else Window.orderBy("_range")
+    starts = each.select(F.col("_range").alias("_r"), *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], *[before(along, f"_sum_{o}").alias(f"_start_{o}") for o in sums])
+    inside = ranged.select("*", *[before(Window.partitionBy("_range", *by).orderBy(*order), c).alias(f"_in_{o}") for o, c in sums.items()])
+    on = F.col("_range") == F.col("_r")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    return inside.join(starts, on).select(*df.columns, *[(F.col(f"_start_{o}") + F.col(f"_in_{o}")).alias(o) for o in sums])
 
 
 def positions(df: DataFrame, order: list[str | Column], out: str) -> DataFrame:

@@ -9,11 +9,12 @@ from tidemark.functions import metrics as M
 from tidemark.functions import rowlocal as R
 from tidemark.operators import checks as C
 from tidemark.operators.ranges import positions
+from tidemark.operators.scans import Scan, scanned
 from tidemark.plans.common import FACTS, RATED, ROW, ROW_SQL, facts, r9, rated, rounded
 from tidemark.plans.frozen_queries import anchor_sql, anchored
 from tidemark.plans.registry import register
 from tidemark.plans.stats_queries import SCORED, scored
-from tidemark.sources.facts import ORDER
+from tidemark.sources.facts import MONTH, ORDER
 from tidemark.sources.io import require_predictions
 
 _ORDER = ", ".join(ORDER)
@@ -185,8 +186,10 @@ _FRAMES = {k: f"OVER (PARTITION BY p ORDER BY {_ORDER} ROWS BETWEEN {k} PRECEDIN
 @register("w7_full_windows", f"WITH {FACTS} SELECT {ROW_SQL}, " + ", ".join(f"CASE WHEN count(y) {w} = {k} THEN round(avg(y) {w}, 9) + 0.0 END AS prev{k}" for k, w in _FRAMES.items()) + " FROM facts r")
 def w7(spark, sf_dir):
     """Means of the last 1, 3 and 5 labels, null until there are so many."""
-    w = {k: Window.partitionBy("p").orderBy(*ORDER).rowsBetween(-k, -1) for k in (1, 3, 5)}
-    return rounded(facts(spark, sf_dir).withColumns({f"prev{k}": F.when(F.count("y").over(x) == k, F.avg("y").over(x)) for k, x in w.items()}), *[f"prev{k}" for k in w])
+    scan = Scan(recent={f"_last{k}": (F.col("y"), k) for k in (1, 3, 5)})
+    out = scanned(facts(spark, sf_dir), ["p"], MONTH, ORDER, scan)
+    full = {f"prev{k}": F.when(F.col(f"_last{k}.n") == k, F.col(f"_last{k}.mean")) for k in (1, 3, 5)}
+    return rounded(out.withColumns(full), *full)
 
 
 @register("a10_candidate_summary", f"""WITH {SCORED}, a AS (SELECT i, i / 10 AS alpha FROM range(11) t(i)), f AS (SELECT i, season, avg((y - (alpha * direct + (1 - alpha) * other)) * (y - (alpha * direct + (1 - alpha) * other))) AS brier, avg((y - other) * (y - other)) - avg((y - (alpha * direct + (1 - alpha) * other)) * (y - (alpha * direct + (1 - alpha) * other))) AS delta, (season - 1991)::double AS w FROM scored, a GROUP BY i, alpha, season),

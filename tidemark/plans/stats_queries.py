@@ -9,7 +9,8 @@ from tidemark.functions import metrics as M
 from tidemark.functions import rowlocal as R
 from tidemark.operators import ensemble as E
 from tidemark.operators.ranges import exact_quantiles
-from tidemark.operators.sequence import invert_prefix, own_event
+from tidemark.operators.scans import Scan, scanned
+from tidemark.operators.sequence import invert_prefix, own_event, stretch
 from tidemark.plans.common import FACTS, RATED, ROW_SQL, facts, r9, rated, rounded
 from tidemark.plans.registry import register
 from tidemark.sources.facts import ORDER
@@ -171,9 +172,9 @@ def w8(spark, sf_dir):
 
 @register("a21_reconstruction_audit", f"WITH {_INVERT} SELECT coalesce(season::varchar, 'ALL') AS season, count(*) FILTER (step) AS eligible, count(previous) AS used, {r9('count(previous) / nullif(count(*) FILTER (step), 0)', 'coverage')}, count(*) FILTER (previous = truth) AS exact, {r9('count(*) FILTER (previous = truth) / nullif(count(previous), 0)', 'accuracy')} FROM e GROUP BY ROLLUP (season)")
 def a21(spark, sf_dir):
-    w = Window.partitionBy("p").orderBy("p_n", *ORDER)
-    df = gapped(spark, sf_dir)
-    out = invert_prefix(df, "p", "p_n", "p_y_rate", ORDER, windows=()).withColumns({"truth": F.lag("y").over(w), "step": F.coalesce(F.col("p_n") == F.lag("p_n").over(w) + 1, F.lit(False))})
+    inverted = invert_prefix(gapped(spark, sf_dir), "p", "p_n", "p_y_rate", ORDER, windows=())
+    was = scanned(inverted, ["p"], stretch("p_n"), ["p_n", *ORDER], Scan(lags={"_was": (F.struct(F.col("y").alias("truth"), F.col("p_n").alias("n")), 1)}))
+    out = was.withColumns({"truth": F.col("_was.truth"), "step": F.coalesce(F.col("p_n") == F.col("_was.n") + 1, F.lit(False))})
     exact = F.count_if(F.col("previous") == F.col("truth"))
     out = out.rollup("season").agg(F.count_if("step").alias("eligible"), F.count("previous").alias("used"), F.try_divide(F.count("previous"), F.count_if("step")).alias("coverage"), exact.alias("exact"), F.try_divide(exact, F.count("previous")).alias("accuracy"))
     out = out.withColumn("season", F.coalesce(F.col("season").cast("string"), F.lit("ALL")))
@@ -182,9 +183,9 @@ def a21(spark, sf_dir):
 
 @register("w9_forward_inversion", f"WITH {RATED}, h AS (SELECT *, round_even(p_n * coalesce(p_middle_rate, CASE WHEN p_n = 0 THEN 0.0 END), 0) AS h FROM rated) SELECT {ROW_SQL}, CASE WHEN lead(p_n) OVER w = p_n + 1 AND lead(h) OVER w - h IN (0, 1) THEN lead(h) OVER w - h END AS event, CASE WHEN count(y) OVER w3 = 3 THEN round(avg(y) OVER w3, 9) + 0.0 END AS prev3 FROM h r WINDOW w AS (PARTITION BY p ORDER BY p_n, {_ORDER}), w3 AS (PARTITION BY p ORDER BY p_n, {_ORDER} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)")
 def w9(spark, sf_dir):
-    w = Window.partitionBy("p").orderBy("p_n", *ORDER).rowsBetween(-3, -1)
     out = own_event(rated(spark, sf_dir), "p", "p_n", "p_middle_rate", ORDER, "event")
-    return rounded(out.withColumn("prev3", F.when(F.count("y").over(w) == 3, F.avg("y").over(w))), "event", "prev3")
+    out = scanned(out, ["p"], stretch("p_n"), ["p_n", *ORDER], Scan(recent={"_last": (F.col("y"), 3)}))
+    return rounded(out.withColumn("prev3", F.when(F.col("_last.n") == 3, F.col("_last.mean"))), "event", "prev3")
 
 
 @register("w10_latest_row", f"WITH {RATED} SELECT p, season, p_n, {r9('p_y_rate', 'p_y_rate')} FROM rated QUALIFY row_number() OVER (PARTITION BY p, season ORDER BY p_n DESC) = 1")

@@ -5,9 +5,11 @@ The supplied order lines stand for events. Every operator works on roles, so ano
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.scans import Scan, scanned
+
 #: A row's identity and its total order.
 ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
 ROW = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "season"]
@@ -70,21 +72,24 @@ def _mix() -> dict[str, Column]:
     return {"fast": F.when(d < 0.04, 1).otherwise(0), "breaking": F.when((d >= 0.04) & (d < 0.08), 1).otherwise(0), "offspeed": F.when(d >= 0.08, 1).otherwise(0)}
 
 
+#: A part of an entity's order that one task can hold: the month of the row.
+MONTH = F.trunc("l_shipdate", "month")
+
+
 def with_rates(df: DataFrame) -> DataFrame:
-    """Adds {p,b}_n, {p,b}_{label}_rate, p_prev{1,3,5}_{y,middle}, and p_{fast,breaking,offspeed}_rate."""
-    new: dict[str, Column] = {}
+    """Adds {p,b}_n, {p,b}_{label}_rate, p_prev{1,3,5}_{y,middle}, and p_{fast,breaking,offspeed}_rate.
+
+    Windows run within an entity's month and months carry totals on, so a very frequent entity is many tasks' work.
+    """
+    out = df
     for e, labels in RATES.items():
-        w = Window.partitionBy(e).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-        new[f"{e}_n"] = F.count(F.lit(1)).over(w)
-        for label in labels:
-            new[f"{e}_{label}_rate"] = F.avg(label).over(w)
-    w = Window.partitionBy("p").orderBy(*ORDER)
-    for label in ("y", "middle"):
-        for k in (1, 3, 5):
-            new[f"p_prev{k}_{label}"] = F.avg(label).over(w.rowsBetween(-k, -1))
-    for name, c in _mix().items():
-        new[f"p_{name}_rate"] = F.avg(c).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return df.select("*", *[c.alias(n) for n, c in new.items()])
+        share = {f"{e}_{x}_rate": F.col(x) for x in labels} | ({f"p_{x}_rate": c for x, c in _mix().items()} if e == "p" else {})
+        recent = {f"p_prev{k}_{x}": (F.col(x), k) for x in ("y", "middle") for k in (1, 3, 5)} if e == "p" else {}
+        scan = Scan(totals={f"{e}_n": F.lit(1).cast("long")} | {c: v.cast("long") for c, v in share.items()}, recent=recent)
+        found = scanned(out, [e], MONTH, ORDER, scan)
+        rate = lambda c: F.try_divide(F.col(c).cast("double"), F.col(f"{e}_n").cast("double")).alias(c)  # noqa: B023, E731
+        out = found.select(*out.columns, f"{e}_n", *[rate(c) for c in share], *[F.col(c)["mean"].alias(c) for c in recent])
+    return out
 
 
 def _rates_sql() -> str:
