@@ -3,11 +3,12 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.frozen import Profile, frozen_profiles
 from tidemark.operators.ranges import running_totals
-from tidemark.operators.scans import Scan, scanned
+from tidemark.operators.scans import Scan, large_entities, scanned
 from tidemark.operators.sequence import invert_prefix, own_event
 
 SCHEMA = "i int, e string, day int, v int, w double"
@@ -24,10 +25,14 @@ def mean(values):
     return (sum(known) / len(known) if known else None), len(known)
 
 
-def test_scan_matches_a_loop(spark):
+@pytest.mark.parametrize("few", [None, 80, 10_000])
+def test_scan_matches_a_loop(spark, few):
     rows = rows_of(1)
     scan = Scan(totals={"before": F.col("v"), "n": F.lit(1)}, lags={"one": (F.col("v"), 1), "seven": (F.col("i"), 7)}, leads={"next": F.struct("i", "w")}, recent={"r1": (F.col("v"), 1), "r5": (F.col("w"), 5)})
-    got = {r["i"]: r for r in scanned(spark.createDataFrame(rows, SCHEMA), ["e"], F.floor(F.col("day") / 3), ["day", "i"], scan).collect()}
+    df = spark.createDataFrame(rows, SCHEMA)
+    large = True if few is None else large_entities(df, "e", few)
+    assert (large is False) == (few == 10_000)
+    got = {r["i"]: r for r in scanned(df, ["e"], F.floor(F.col("day") / 3), ["day", "i"], scan, large).collect()}
     assert len(got) == len(rows)
     for e in {r[1] for r in rows}:
         own = sorted((r for r in rows if r[1] == e), key=lambda r: (r[2] is not None, r[2] or 0, r[0]))

@@ -9,12 +9,12 @@ from tidemark.functions import metrics as M
 from tidemark.functions import rowlocal as R
 from tidemark.operators import checks as C
 from tidemark.operators.ranges import positions
-from tidemark.operators.scans import Scan, scanned
+from tidemark.operators.scans import Scan, large_entities, scanned
 from tidemark.plans.common import FACTS, RATED, ROW, ROW_SQL, facts, r9, rated, rounded
 from tidemark.plans.frozen_queries import anchor_sql, anchored
 from tidemark.plans.registry import register
 from tidemark.plans.stats_queries import SCORED, scored
-from tidemark.sources.facts import MONTH, ORDER
+from tidemark.sources.facts import DAY, ORDER
 from tidemark.sources.io import require_predictions
 
 _ORDER = ", ".join(ORDER)
@@ -187,7 +187,8 @@ _FRAMES = {k: f"OVER (PARTITION BY p ORDER BY {_ORDER} ROWS BETWEEN {k} PRECEDIN
 def w7(spark, sf_dir):
     """Means of the last 1, 3 and 5 labels, null until there are so many."""
     scan = Scan(recent={f"_last{k}": (F.col("y"), k) for k in (1, 3, 5)})
-    out = scanned(facts(spark, sf_dir), ["p"], MONTH, ORDER, scan)
+    df = facts(spark, sf_dir)
+    out = scanned(df, ["p"], DAY, ORDER, scan, large_entities(df, "p"))
     full = {f"prev{k}": F.when(F.col(f"_last{k}.n") == k, F.col(f"_last{k}.mean")) for k in (1, 3, 5)}
     return rounded(out.withColumns(full), *full)
 

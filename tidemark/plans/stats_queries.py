@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.functions import metrics as M
 from tidemark.functions import rowlocal as R
 from tidemark.operators import ensemble as E
-from tidemark.operators.ranges import exact_quantiles
-from tidemark.operators.scans import Scan, scanned
+from tidemark.operators.ranges import bound, exact_quantiles
+from tidemark.operators.scans import Scan, large_entities, scanned
 from tidemark.operators.sequence import invert_prefix, own_event, stretch
-from tidemark.plans.common import FACTS, RATED, ROW_SQL, facts, r9, rated, rounded
+from tidemark.plans.common import FACTS, RATED, ROW, ROW_SQL, facts, r9, rated, rounded
 from tidemark.plans.registry import register
 from tidemark.sources.facts import ORDER
 
@@ -161,7 +161,8 @@ e AS (SELECT *, CASE WHEN step AND ok AND lag(ok) OVER w AND whole - lag(whole)
 
 def gapped(spark, sf_dir):
     """All rows, a part of them without a known rate: gaps in the sequences."""
-    return rated(spark, sf_dir).withColumn("p_y_rate", F.when(F.col("l_linenumber") != 3, F.col("p_y_rate")))
+    df = rated(spark, sf_dir).withColumn("p_y_rate", F.when(F.col("l_linenumber") != 3, F.col("p_y_rate")))
+    return bound(df.select(*dict.fromkeys([*ROW, *ORDER, "p", "p_n", "p_y_rate", "y"])))
 
 
 @register("w8_prefix_inversion", f"WITH {_INVERT} SELECT {ROW_SQL}, r.segment::bigint AS segment, r.previous, " + ", ".join(f"lag(r.previous, {k - 1}) OVER v AS lag{k}" for k in (2, 3, 4, 5)) + ", " + ", ".join(f"round(avg(r.previous) OVER (PARTITION BY p, segment ORDER BY p_n, {_ORDER} ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW), 9) + 0.0 AS mean{k}" for k in (2, 3, 5, 10, 20, 30, 50)) + f" FROM e r WINDOW v AS (PARTITION BY p, segment ORDER BY p_n, {_ORDER})")
@@ -172,8 +173,9 @@ def w8(spark, sf_dir):
 
 @register("a21_reconstruction_audit", f"WITH {_INVERT} SELECT coalesce(season::varchar, 'ALL') AS season, count(*) FILTER (step) AS eligible, count(previous) AS used, {r9('count(previous) / nullif(count(*) FILTER (step), 0)', 'coverage')}, count(*) FILTER (previous = truth) AS exact, {r9('count(*) FILTER (previous = truth) / nullif(count(previous), 0)', 'accuracy')} FROM e GROUP BY ROLLUP (season)")
 def a21(spark, sf_dir):
-    inverted = invert_prefix(gapped(spark, sf_dir), "p", "p_n", "p_y_rate", ORDER, windows=())
-    was = scanned(inverted, ["p"], stretch("p_n"), ["p_n", *ORDER], Scan(lags={"_was": (F.struct(F.col("y").alias("truth"), F.col("p_n").alias("n")), 1)}))
+    df = gapped(spark, sf_dir)
+    inverted = invert_prefix(df, "p", "p_n", "p_y_rate", ORDER, windows=())
+    was = scanned(inverted, ["p"], stretch("p_n"), ["p_n", *ORDER], Scan(lags={"_was": (F.struct(F.col("y").alias("truth"), F.col("p_n").alias("n")), 1)}), large_entities(df, "p"), df)
     out = was.withColumns({"truth": F.col("_was.truth"), "step": F.coalesce(F.col("p_n") == F.col("_was.n") + 1, F.lit(False))})
     exact = F.count_if(F.col("previous") == F.col("truth"))
     out = out.rollup("season").agg(F.count_if("step").alias("eligible"), F.count("previous").alias("used"), F.try_divide(F.count("previous"), F.count_if("step")).alias("coverage"), exact.alias("exact"), F.try_divide(exact, F.count("previous")).alias("accuracy"))
@@ -183,8 +185,9 @@ def a21(spark, sf_dir):
 
 @register("w9_forward_inversion", f"WITH {RATED}, h AS (SELECT *, round_even(p_n * coalesce(p_middle_rate, CASE WHEN p_n = 0 THEN 0.0 END), 0) AS h FROM rated) SELECT {ROW_SQL}, CASE WHEN lead(p_n) OVER w = p_n + 1 AND lead(h) OVER w - h IN (0, 1) THEN lead(h) OVER w - h END AS event, CASE WHEN count(y) OVER w3 = 3 THEN round(avg(y) OVER w3, 9) + 0.0 END AS prev3 FROM h r WINDOW w AS (PARTITION BY p ORDER BY p_n, {_ORDER}), w3 AS (PARTITION BY p ORDER BY p_n, {_ORDER} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)")
 def w9(spark, sf_dir):
-    out = own_event(rated(spark, sf_dir), "p", "p_n", "p_middle_rate", ORDER, "event")
-    out = scanned(out, ["p"], stretch("p_n"), ["p_n", *ORDER], Scan(recent={"_last": (F.col("y"), 3)}))
+    df = bound(rated(spark, sf_dir).select(*dict.fromkeys([*ROW, *ORDER, "p", "p_n", "p_middle_rate", "y"])))
+    out = own_event(df, "p", "p_n", "p_middle_rate", ORDER, "event")
+    out = scanned(out, ["p"], stretch("p_n"), ["p_n", *ORDER], Scan(recent={"_last": (F.col("y"), 3)}), large_entities(df, "p"), df)
     return rounded(out.withColumn("prev3", F.when(F.col("_last.n") == 3, F.col("_last.mean"))), "event", "prev3")
 
 

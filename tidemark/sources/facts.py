@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.scans import Scan, scanned
+from tidemark.operators.scans import FEW, Scan, large_entities, scanned
 
 #: A row's identity and its total order.
 ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
@@ -72,21 +72,23 @@ def _mix() -> dict[str, Column]:
     return {"fast": F.when(d < 0.04, 1).otherwise(0), "breaking": F.when((d >= 0.04) & (d < 0.08), 1).otherwise(0), "offspeed": F.when(d >= 0.08, 1).otherwise(0)}
 
 
-#: A part of an entity's order that one task can hold: the month of the row.
-MONTH = F.trunc("l_shipdate", "month")
+#: The part of a large entity's order that one task holds: the day of the row.
+DAY = F.to_date("l_shipdate")
 
 
-def with_rates(df: DataFrame) -> DataFrame:
+def with_rates(df: DataFrame, few: int | None = None, most: int | None = None) -> DataFrame:
     """Adds {p,b}_n, {p,b}_{label}_rate, p_prev{1,3,5}_{y,middle}, and p_{fast,breaking,offspeed}_rate.
 
-    Windows run within an entity's month and months carry totals on, so a very frequent entity is many tasks' work.
+    An entity of more than `few` rows (scans.FEW) is many tasks' work: windows run within its days, and days carry
+    totals on. most is a number that df's rows don't exceed, if one is known: under `few` there is nothing to count.
     """
+    small = most is not None and most <= (FEW if few is None else few)
     out = df
     for e, labels in RATES.items():
         share = {f"{e}_{x}_rate": F.col(x) for x in labels} | ({f"p_{x}_rate": c for x, c in _mix().items()} if e == "p" else {})
         recent = {f"p_prev{k}_{x}": (F.col(x), k) for x in ("y", "middle") for k in (1, 3, 5)} if e == "p" else {}
         scan = Scan(totals={f"{e}_n": F.lit(1).cast("long")} | {c: v.cast("long") for c, v in share.items()}, recent=recent)
-        found = scanned(out, [e], MONTH, ORDER, scan)
+        found = scanned(out, [e], DAY, ORDER, scan, False if small else large_entities(df, e, few), df)
         rate = lambda c: F.try_divide(F.col(c).cast("double"), F.col(f"{e}_n").cast("double")).alias(c)  # noqa: B023, E731
         out = found.select(*out.columns, f"{e}_n", *[rate(c) for c in share], *[F.col(c)["mean"].alias(c) for c in recent])
     return out
@@ -109,4 +111,5 @@ RATED = f"{FACTS}, {_rates_sql()}"
 
 
 def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_rates(facts(spark, sf_dir))
+    # An order line has one order: facts have as many rows at most, and Parquet's footers say how many.
+    return with_rates(facts(spark, sf_dir), most=spark.read.parquet(f"{sf_dir}/lineitem.parquet").count())
