@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,24 +22,54 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_BOUND: dict[str, list[str]] = {}
+
+
 def bound(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, for rows that several aggregates read a few columns of.
 
-    What made the rows (joins, windows) runs once, and a lost executor costs none of it. The table stays until the
-    folder is cleaned.
+    What made the rows (joins, windows) runs once, and a lost executor costs none of it. The table goes by unbound(), by
+    release() or when the driver's program ends.
     """
-    path = f"{shared_folder(df.sparkSession)}/bound-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/bound-{uuid.uuid4().hex}"
+    if not _BOUND:
+        atexit.register(_at_exit)
+    _BOUND.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def unbound(df: DataFrame) -> None:
     """Removes the table that bound() has written, once nothing that is still to run reads it."""
-    spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if folder.rsplit("/", 1)[-1].startswith("bound-"):
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            delete(df.sparkSession, folder)
+
+
+def release(spark: SparkSession) -> int:
+    """Removes all that bound() has written in this application; how many tables it was. Nothing may still read them."""
+    paths = _BOUND.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        delete(spark, path)
+    return len(paths)
+
+
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        release(spark)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder or file of any store that Spark reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
 def running_totals(df: DataFrame, order: list[str | Column], sums: dict[str, str], by: list[str] | None = None) -> DataFrame:
