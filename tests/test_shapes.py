@@ -115,3 +115,12 @@ def test_audit_counts_what_does_not_match(spark):
     got = E.audit(left, right, ["k"], "y", ["p"]).first()
     assert (got["n"], got["unmatched"], got["different_labels"]) == (2, 2, 1)
     assert abs(got["mae"] - 0.05) < 1e-12 and abs(got["max_abs"] - 0.1) < 1e-12
+
+
+def test_masks_of_all_folds_are_counted_at_once(spark):
+    from tidemark.operators import checks as C
+
+    df = spark.createDataFrame([(2019,), (2019,), (2020,), (2021,), (None,)], "season int")
+    t = lambda e: F.expr(e)
+    found = C.fold_overlaps(df, {"a": (t("season < 2020"), t("season = 2020")), "b": (t("season <= 2020"), t("season >= 2020")), "c": (t("season < 0"), t("season > 0"))})
+    assert sorted(map(tuple, found.collect())) == [("a", 2, 1, 0, True), ("b", 3, 2, 1, False), ("c", 0, 4, 0, False)]

@@ -34,6 +34,16 @@ def state_invariants() -> dict[str, Column]:
     }
 
 
+def fold_overlaps(df: DataFrame, folds: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """(fold, train, valid, overlap, good): rows of each fold's two masks and of both, all counted in one pass.
+
+    A fold is good if both masks have rows and share none; null is in no mask.
+    """
+    counts = [F.struct(F.lit(n).alias("fold"), F.count_if(t).alias("train"), F.count_if(v).alias("valid"), F.count_if(t & v).alias("overlap")).alias(f"_{i}") for i, (n, (t, v)) in enumerate(folds.items())]
+    each = df.agg(*counts).select(F.inline(F.array(*[f"_{i}" for i in range(len(folds))])))
+    return each.withColumn("good", (F.col("overlap") == 0) & (F.col("train") > 0) & (F.col("valid") > 0))
+
+
 def split_overlap(df: DataFrame, train: Column, valid: Column, by: list[str] | None = None) -> DataFrame:
     """(by, train, valid, overlap, good): counts of two masks; good if no row is in both and neither is empty."""
     t, v = (F.coalesce(m, F.lit(False)) for m in (train, valid))

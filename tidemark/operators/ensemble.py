@@ -82,16 +82,25 @@ def core_and_final(df: DataFrame, y: str, mixed_: str, offset: str, joint: str,
 def gate_grid(df: DataFrame, y: str, direct: str, reverse: list[str], middle: list[str], cond: list[str], cs: list[float], domain: str) -> DataFrame:
     """(reverse, middle, cond: places in their lists, c, n, brier) of every candidate, each blended in closed form per domain.
 
-    logic = clip(1 - r - m + c r m) * cond. Rows meet the grid where they are read and leave as three sums a candidate
-    and domain, so the grid is shuffled and the rows are not.
+    logic = clip(1 - r - m + c r m) * cond. Where the clip bites at no c of the grid, a row's logic is a line in c, and
+    six sums a candidate serve every c; only other rows meet all of them. What is shuffled are sums.
     """
     trees = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k"), F.col(r).alias("r"), F.col(m).alias("m"), F.col(p).alias("p")) for i, r in enumerate(reverse) for j, m in enumerate(middle) for k, p in enumerate(cond)])
     rows = df.select(domain, (F.col(y) - F.col(direct)).alias("_e"), F.col(direct).alias("_q"), F.explode(trees).alias("t"))
-    rows = rows.select("*", F.explode(F.array(*[F.lit(float(c)) for c in cs])).alias("c"))
-    gate = F.greatest(F.least(1 - F.col("t.r") - F.col("t.m") + F.col("c") * F.col("t.r") * F.col("t.m"), F.lit(1.0)), F.lit(0.0))
-    d = gate * F.col("t.p") - F.col("_q")
+    grid = F.array(*[F.lit(float(c)) for c in cs])
+    at = lambda c: 1 - F.col("t.r") - F.col("t.m") + c * F.col("t.r") * F.col("t.m")
+    ends = [at(F.lit(float(f(cs)))) for f in (min, max)]
+    calm = F.coalesce((F.least(*ends) >= 0) & (F.greatest(*ends) <= 1) & F.col("t.p").isNotNull() & (ends[0] + ends[1]).isNotNull(), F.lit(False))
+    rows = rows.select("*", F.explode(F.when(calm, F.array(F.lit(None).cast("double"))).otherwise(grid)).alias("c"))
+    e, u, v = F.col("_e"), (1 - F.col("t.r") - F.col("t.m")) * F.col("t.p") - F.col("_q"), F.col("t.r") * F.col("t.m") * F.col("t.p")
+    d = F.greatest(F.least(at(F.col("c")), F.lit(1.0)), F.lit(0.0)) * F.col("t.p") - F.col("_q")
     sums = rows.groupBy(domain, F.col("t.i").alias("reverse"), F.col("t.j").alias("middle"), F.col("t.k").alias("cond"), "c")
-    sums = sums.agg(F.count("*").alias("n"), F.sum(F.col("_e") * F.col("_e")).alias("ee"), F.sum(F.col("_e") * d).alias("ed"), F.sum(d * d).alias("dd"))
+    parts = {"ed": e * d, "dd": d * d, "eu": e * u, "ev": e * v, "uu": u * u, "uv": u * v, "vv": v * v}
+    sums = sums.agg(F.count("*").alias("n"), F.sum(e * e).alias("ee"), *[F.sum(x).alias(n) for n, x in parts.items()])
+    s = F.col
+    line = F.transform(grid, lambda c: F.struct(c.alias("c"), (s("eu") + c * s("ev")).alias("ed"), (s("uu") + 2 * c * s("uv") + c * c * s("vv")).alias("dd")))
+    sums = sums.select(domain, "reverse", "middle", "cond", "n", "ee", F.inline(F.when(s("c").isNull(), line).otherwise(F.array(F.struct("c", "ed", "dd")))))
+    sums = sums.groupBy(domain, "reverse", "middle", "cond", "c").agg(*[F.sum(x).alias(x) for x in ("n", "ee", "ed", "dd")])
     w = F.when(F.col("dd") > 0, F.greatest(F.least(F.try_divide("ed", "dd"), F.lit(1.0)), F.lit(0.0))).otherwise(0.0)
     loss = F.col("ee") - 2 * w * F.col("ed") + w * w * F.col("dd")
     return sums.groupBy("reverse", "middle", "cond", "c").agg(F.sum("n").alias("n"), (F.sum(loss) / F.sum("n")).alias("brier"))

@@ -32,12 +32,18 @@ def bound(df: DataFrame) -> DataFrame:
     release() or when the driver's program ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/bound-{uuid.uuid4().hex}"
+    path = temporary(spark, "rows")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def temporary(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for what goes by release() or when the driver's program ends."""
     if not _BOUND:
         atexit.register(_at_exit)
+    path = f"{shared_folder(spark)}/bound-{name}-{uuid.uuid4().hex}"
     _BOUND.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def unbound(df: DataFrame) -> None:

@@ -12,7 +12,7 @@ from tidemark.operators import ensemble as E
 from tidemark.operators.models import joint_to_success
 from tidemark.plans.common import FACTS, ROW, ROW_SQL, facts, r9, rounded
 from tidemark.plans.registry import register
-from tidemark.plans.stats_queries import SCORED, scored
+from tidemark.plans.stats_queries import SCORED, scored, simplex_sql
 
 _CS = [i / 5 - 2 for i in range(21)]
 _PARTS = {"r0": "coalesce(p_reverse_rate, 0.1)", "r1_": "0.5 * coalesce(p_reverse_rate, 0.1) + 0.05", "m0": "coalesce(p_middle_rate, 0.1)", "m1": "0.5 * coalesce(b_middle_rate, 0.1) + 0.05", "q0": "other", "q1": "third"}
@@ -48,7 +48,7 @@ def e4(spark, sf_dir):
     return rounded(E.simplex_blend(df, "y", names, "gt", rest=True)[0], "gt", "blend", digits=6)
 
 
-@register("e5_core_and_final")
+@register("e5_core_and_final", f"WITH {SCORED}, c AS (SELECT *, 0.5 * (direct + coalesce(p_prev5_y, direct)) AS fourth FROM scored), {simplex_sql('w', 'c', 'direct', 'other', 'third')}, s AS (SELECT c.*, w.p * direct + w.q * other + (1 - w.p - w.q) * third AS safe FROM c JOIN w ON c.gt = w.gt), v AS (SELECT gt, greatest(least(sum((fourth - safe) * (y - safe)) / sum((fourth - safe) * (fourth - safe)), 1), 0) AS v FROM s GROUP BY gt) SELECT {ROW_SQL}, round(safe, 6) + 0.0 AS safe, round(safe + v * (fourth - safe), 6) + 0.0 AS final FROM s r JOIN v ON r.gt = v.gt")
 def e5(spark, sf_dir):
     df, _ = _candidates(spark, sf_dir, 5)
     out, _ = E.core_and_final(df, "y", "direct", "other", "third", "fourth", "gt")
@@ -101,7 +101,7 @@ def d2(spark, sf_dir):
     """
     folds = spark.createDataFrame([("forward_2000", 2000, 0, 0.2), ("forward_2001", 2001, 0, 0.3), ("within_2001", 2001, 6, 0.5)], "fold string, v int, c int, w double")
     cells = facts(spark, sf_dir).groupBy("season", "inning", "gt").agg(F.count("*").alias("n"), F.sum("y").alias("s"))
-    cells = cells.join(F.broadcast(folds))  # three folds, in the program
+    cells = cells.join(folds)  # three folds, in the program, with a row a (period, month, domain)
     total = lambda c, m: F.sum(F.when(m, F.col(c)))
     recent = F.col("season") >= F.col("v") - 2
     rate = (F.sum("s") / F.sum("n")).alias("rate")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 #: Modules that register queries when they are imported.
-MODULES: tuple[str, ...] = ("tidemark.plans.frozen_queries", "tidemark.plans.rowlocal_queries", "tidemark.plans.stats_queries", "tidemark.plans.shape_queries", "tidemark.plans.ensemble_queries", "tidemark.plans.model_queries")
+MODULES: tuple[str, ...] = ("tidemark.plans.frozen_queries", "tidemark.plans.rowlocal_queries", "tidemark.plans.stats_queries", "tidemark.plans.shape_queries", "tidemark.plans.ensemble_queries", "tidemark.plans.model_queries", "tidemark.plans.source_queries")
 
 
 def register(name: str, sql: str | None = None):

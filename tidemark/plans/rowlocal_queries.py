@@ -10,6 +10,7 @@ from tidemark.operators.ranges import exact_quantiles
 from tidemark.plans.common import FACTS, RATED, ROW_SQL, facts, r9, rated, rounded
 from tidemark.plans.frozen_queries import anchor_sql, anchored
 from tidemark.plans.registry import register
+from tidemark.sources.io import require_domain
 
 
 def _with(df: DataFrame, columns: dict) -> DataFrame:
@@ -100,8 +101,10 @@ _MASKS = {f"{era}_{hand}": (era, hand) for era in ("recent", "old") for hand in
 
 @register("p11_regime_masks", f"WITH {RATED} SELECT {ROW_SQL}, " + ", ".join(r9(f"CASE WHEN gt = 'R' AND season {'>=' if e == 'recent' else '<'} {_RECENT} AND bhand = '{h}' THEN p_fast_rate END", "fast_" + n) for n, (e, h) in _MASKS.items()) + f", {r9(f"CASE WHEN gt = 'R' AND season >= {_RECENT} THEN {_block_sql('y')['range3']} END", 'range_recent')}, {r9(f"CASE WHEN gt = 'R' AND season < {_RECENT} THEN {_block_sql('y')['range3']} END", 'range_old')} FROM rated r")
 def p11(spark, sf_dir):
-    df = rated(spark, sf_dir)
-    return _regimes(df, sorted(r[0] for r in df.select("bhand").where("bhand is not null").distinct().orderBy("bhand").limit(2).collect()))
+    """Hands are L and R, or it raises (V3): a third one would have no column."""
+    df = facts(spark, sf_dir)
+    require_domain(df, "bhand", ["L", "R"])
+    return _regimes(rated(spark, sf_dir), ["L", "R"])
 
 
 @register("p12_frozen_hands", f"WITH {RATED} SELECT {ROW_SQL}, " + ", ".join(r9(f"CASE WHEN gt = 'R' AND season {'>=' if e == 'recent' else '<'} {_RECENT} AND bhand = '{h}' THEN p_fast_rate END", f"fast_{e}_{h}") for e in ("recent", "old") for h in ("R", "S")) + f", {r9(f"CASE WHEN gt = 'R' AND season >= {_RECENT} THEN {_block_sql('y')['range3']} END", 'range_recent')}, {r9(f"CASE WHEN gt = 'R' AND season < {_RECENT} THEN {_block_sql('y')['range3']} END", 'range_old')} FROM rated r")

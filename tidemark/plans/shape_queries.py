@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import metrics as M
 from tidemark.functions import rowlocal as R
 from tidemark.operators import checks as C
-from tidemark.operators.ranges import positions
+from tidemark.operators.ranges import bound, positions
 from tidemark.operators.scans import Scan, large_entities, scanned
 from tidemark.plans.common import FACTS, RATED, ROW, ROW_SQL, facts, r9, rated, rounded
 from tidemark.plans.frozen_queries import anchor_sql, anchored
@@ -80,10 +80,16 @@ def u5(spark, sf_dir):
 @register("u6_name_sets", """WITH n AS (SELECT table_name AS t, regexp_replace(column_name, '^[a-z]+_', '') AS name FROM information_schema.columns WHERE table_name IN ('customer', 'supplier'))
 SELECT name, bool_or(t = 'customer') AS in_customer, bool_or(t = 'supplier') AS in_supplier, CASE WHEN count(DISTINCT t) = 2 THEN 'both' WHEN bool_or(t = 'customer') THEN 'customer only' ELSE 'supplier only' END AS place FROM n GROUP BY name""")
 def u6(spark, sf_dir):
-    names = lambda t: {c.split("_", 1)[1] for c in spark.read.parquet(f"{sf_dir}/{t}.parquet").columns}
-    a, b = names("customer"), names("supplier")
-    place = {n: "both" for n in a & b} | {n: "customer only" for n in a - b} | {n: "supplier only" for n in b - a}
-    return spark.createDataFrame([(n, n in a, n in b, place[n]) for n in sorted(a | b)], "name string, in_customer boolean, in_supplier boolean, place string")
+    """Names that the rows of two tables have, as rows: one aggregate over both."""
+    def names(t):
+        keys = F.json_object_keys(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
+        return spark.read.parquet(f"{sf_dir}/{t}.parquet").select(F.explode(keys).alias("name"), F.lit(t).alias("t"))
+
+    both = names("customer").unionByName(names("supplier")).select(F.regexp_replace("name", "^[a-z]+_", "").alias("name"), "t")
+    has = {t: F.bool_or(F.col("t") == t) for t in ("customer", "supplier")}
+    found = both.groupBy("name").agg(*[c.alias(f"in_{t}") for t, c in has.items()])
+    place = F.when(F.col("in_customer") & F.col("in_supplier"), "both").when(F.col("in_customer"), "customer only").otherwise("supplier only")
+    return found.withColumn("place", place)
 
 
 _FOLDS = "f(fold, v, c) AS (VALUES ('forward_2000', 2000, 0), ('forward_2001', 2001, 0), ('within_2001', 2001, 6), ('overlap', 1998, 3), ('empty', 1900, 0))"
@@ -92,9 +98,12 @@ _TRAIN, _VALID = "(season < v OR (c > 0 AND season = v AND inning <= c))", "(sea
 
 @register("v2_split_overlap", f"WITH {FACTS}, {_FOLDS}, k AS (SELECT fold, count(*) FILTER ({_TRAIN}) AS train, count(*) FILTER ({_VALID}) AS valid, count(*) FILTER ({_TRAIN} AND {_VALID}) AS overlap FROM facts, f GROUP BY fold) SELECT *, (overlap = 0 AND train > 0 AND valid > 0) AS good FROM k")
 def v2(spark, sf_dir):
-    folds = spark.createDataFrame([("forward_2000", 2000, 0), ("forward_2001", 2001, 0), ("within_2001", 2001, 6), ("overlap", 1998, 3), ("empty", 1900, 0)], "fold string, v int, c int")
-    rows = facts(spark, sf_dir).join(F.broadcast(folds))  # five folds, in the program
-    return C.split_overlap(rows, F.expr(_TRAIN), F.expr(_VALID), ["fold"])
+    def masks(v, c, overlap=False):
+        season, inning = F.col("season"), F.col("inning")
+        return (season < v) | (F.lit(c > 0) & (season == v) & (inning <= c)), (season == v) & ((inning > c) | F.lit(overlap))
+
+    folds = {"forward_2000": masks(2000, 0), "forward_2001": masks(2001, 0), "within_2001": masks(2001, 6), "overlap": masks(1998, 3, overlap=True), "empty": masks(1900, 0)}
+    return C.fold_overlaps(facts(spark, sf_dir), folds)
 
 
 _STATE = {
@@ -146,34 +155,35 @@ def v9(spark, sf_dir):
     return rounded(out, "l_orderkey", "direct", keys=[])
 
 
-_HALVES = "h AS (SELECT p, gt, count(*) AS n, sum(y)::bigint AS s, max(outs) FILTER (outs > 0) AS outs FROM facts WHERE season < 1997 GROUP BY ALL), u AS (SELECT p, gt, count(*) AS n, sum(y)::bigint AS s, max(outs) FILTER (outs > 1) AS outs FROM facts WHERE season >= 1997 AND l_linenumber > 5 GROUP BY ALL)"
+_HALVES = "h AS (SELECT p, b, count(*) AS n, sum(y)::bigint AS s, max(outs) FILTER (outs > 0) AS outs FROM facts WHERE season < 1997 GROUP BY ALL), u AS (SELECT p, b, count(*) AS n, sum(y)::bigint AS s, max(outs) FILTER (outs > 1) AS outs FROM facts WHERE season >= 1997 GROUP BY ALL)"
 
 
 def _halves(spark, sf_dir):
+    """Earlier and later rows by pair: most pairs are in one of the two only."""
     df = facts(spark, sf_dir)
-    state = lambda rows, least: rows.groupBy("p", "gt").agg(F.count("*").alias("n"), F.sum("y").alias("s"), F.max(F.when(F.col("outs") > least, F.col("outs"))).alias("outs"))
-    return state(df.where("season < 1997"), 0), state(df.where("season >= 1997 and l_linenumber > 5"), 1)
+    state = lambda rows, least: rows.groupBy("p", "b").agg(F.count("*").alias("n"), F.sum("y").alias("s"), F.max(F.when(F.col("outs") > least, F.col("outs"))).alias("outs"))
+    return state(df.where("season < 1997"), 0), state(df.where("season >= 1997"), 1)
 
 
-@register("j7_outer_add", f"WITH {FACTS}, {_HALVES} SELECT p, gt, coalesce(h.n, 0) + coalesce(u.n, 0) AS n, coalesce(h.s, 0) + coalesce(u.s, 0) AS s FROM h FULL JOIN u USING (p, gt)")
+@register("j7_outer_add", f"WITH {FACTS}, {_HALVES} SELECT p, b, coalesce(h.n, 0) + coalesce(u.n, 0) AS n, coalesce(h.s, 0) + coalesce(u.s, 0) AS s FROM h FULL JOIN u USING (p, b)")
 def j7(spark, sf_dir):
     """Two tables of counts added by key; a key that one lacks counts as 0 there."""
     old, new = _halves(spark, sf_dir)
-    return old.unionByName(new).groupBy("p", "gt").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    return old.unionByName(new).groupBy("p", "b").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
 
 
-@register("j8_combine_first", f"WITH {FACTS}, {_HALVES} SELECT p, gt, coalesce(u.outs, h.outs) AS outs, u.n AS newest_n FROM h FULL JOIN u USING (p, gt)")
+@register("j8_combine_first", f"WITH {FACTS}, {_HALVES} SELECT p, b, coalesce(u.outs, h.outs) AS outs, u.n AS newest_n FROM h FULL JOIN u USING (p, b)")
 def j8(spark, sf_dir):
     """The newest known value, else the old one."""
     old, new = _halves(spark, sf_dir)
-    both = old.select("p", "gt", F.col("outs").alias("old")).join(new.select("p", "gt", F.col("outs").alias("new"), F.col("n").alias("newest_n")), ["p", "gt"], "full")
-    return both.select("p", "gt", F.coalesce("new", "old").alias("outs"), "newest_n")
+    both = old.select("p", "b", F.col("outs").alias("old")).join(new.select("p", "b", F.col("outs").alias("new"), F.col("n").alias("newest_n")), ["p", "b"], "full")
+    return both.select("p", "b", F.coalesce("new", "old").alias("outs"), "newest_n")
 
 
 @register("j10_positional_alignment", f"WITH {SCORED}, k AS (SELECT *, row_number() OVER (ORDER BY {_ORDER}) - 1 AS position FROM scored) SELECT position, {_ROW}, y AS y_left, y AS y_right, {r9('other - direct', 'change')} FROM k")
 def j10(spark, sf_dir):
     """Two tables in one order joined by place, with the labels of both, which must agree."""
-    df = scored(spark, sf_dir).select(*dict.fromkeys([*ROW, *ORDER, "y", "direct", "other"]))
+    df = bound(scored(spark, sf_dir).select(*dict.fromkeys([*ROW, *ORDER, "y", "direct", "other"])))
     left = positions(df.drop("other"), ORDER, "position").withColumnRenamed("y", "y_left")
     right = positions(df.select(*ORDER, "y", "other"), ORDER, "position").select("position", F.col("y").alias("y_right"), "other")
     both = left.join(right, "position", "full").withColumn("change", F.col("other") - F.col("direct"))

@@ -257,7 +257,20 @@ def e2(spark, sf_dir):
     return rounded(out, *out.columns, keys=[])
 
 
-@register("e3_simplex_blend")
+def simplex_sql(name: str, source: str, a: str, b: str, c: str) -> str:
+    """CTEs that end in name(gt, p, q): p of a, q of b and the rest of c have the least squared error; the best of the
+    inner solution and the three edges (whose ends are the corners)."""
+    u, v, t = f"({a} - {c})", f"({b} - {c})", f"(y - {c})"
+    edge = lambda n, d: f"greatest(least(({n}) / nullif({d}, 0), 1), 0)"
+    last = edge("vv - uv + tu - tv", "uu - 2 * uv + vv")
+    return f"""{name}_m AS (SELECT gt, sum({u} * {u}) AS uu, sum({u} * {v}) AS uv, sum({v} * {v}) AS vv, sum({t} * {u}) AS tu, sum({t} * {v}) AS tv FROM {source} GROUP BY gt),
+{name}_k AS (SELECT m.*, e, CASE e WHEN 0 THEN (tu * vv - tv * uv) / nullif(uu * vv - uv * uv, 0) WHEN 1 THEN {edge('tu', 'uu')} WHEN 2 THEN 0 ELSE {last} END AS p,
+  CASE e WHEN 0 THEN (tv * uu - tu * uv) / nullif(uu * vv - uv * uv, 0) WHEN 1 THEN 0 WHEN 2 THEN {edge('tv', 'vv')} ELSE 1 - {last} END AS q FROM {name}_m m, range(4) r(e)),
+{name}_l AS (SELECT *, p * p * uu + 2 * p * q * uv + q * q * vv - 2 * p * tu - 2 * q * tv AS loss FROM {name}_k WHERE p >= 0 AND q >= 0 AND p + q <= 1),
+{name} AS (SELECT gt, arg_min(p, loss) AS p, arg_min(q, loss) AS q FROM {name}_l GROUP BY gt)"""
+
+
+@register("e3_simplex_blend", f"WITH {SCORED}, {simplex_sql('w', 'scored', 'direct', 'other', 'third')} SELECT {ROW_SQL}, round(w.p * direct + w.q * other + (1 - w.p - w.q) * third, 6) + 0.0 AS blend FROM scored r JOIN w ON r.gt = w.gt")
 def e3(spark, sf_dir):
     out, _ = E.simplex_blend(scored(spark, sf_dir), "y", ["direct", "other", "third"], "gt")
     return rounded(out, "blend", digits=6)
@@ -316,7 +329,7 @@ def j5(spark, sf_dir):
     return rounded(b.join(ref, "season", "left").withColumn("delta", F.col("brier") - F.col("ref")), "season", "gt", "brier", "delta", keys=[])
 
 
-@register("x9_quality_metrics", "SELECT toxic, count(*) AS n, round(avg(quality), 9) + 0.0 AS rate, round(avg((quality - 0.5) * (quality - 0.5)), 9) + 0.0 AS brier FROM labels GROUP BY toxic")
+@register("a18_quality_metrics", "SELECT toxic, count(*) AS n, round(avg(quality), 9) + 0.0 AS rate, round(avg((quality - 0.5) * (quality - 0.5)), 9) + 0.0 AS brier FROM labels GROUP BY toxic")
 def x9(spark, sf_dir):
     out = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("toxic").agg(F.count("*").alias("n"), F.avg("quality").alias("rate"), M.brier(F.col("quality"), F.lit(0.5)).alias("brier"))
     return rounded(out, *out.columns, keys=[])

@@ -45,6 +45,14 @@ def require_predictions(df: DataFrame, sample: DataFrame, key: str, value: str,
     return require_invariants(out.withColumns({"_good": good, "_once": once}), {"in [0, 1]": "_good", "one row a key": "_once"}).drop("_good", "_once", "_times")
 
 
+def require_equal_rows(one: DataFrame, other: DataFrame) -> int:
+    """The number of rows of both, or ValueError if they differ."""
+    a, b = one.count(), other.count()
+    if a != b:
+        raise ValueError(f"tables of {a} and {b} rows")
+    return a
+
+
 def nulls_for_nan(df: DataFrame) -> DataFrame:
     """NaN and infinities of all floating columns become null: inside the library only null is missing."""
     floats = [n for n, t in df.dtypes if t in ("double", "float")]
@@ -72,6 +80,18 @@ def write_csv(df: DataFrame, path: str, compress: bool = False) -> None:
     df.write.mode("overwrite").option("header", True).option("compression", "gzip" if compress else "none").csv(path)
 
 
+def write_submission(df: DataFrame, sample: DataFrame, key: str, value: str, path: str, order: str) -> None:
+    """(key, value) of the sample's rows as CSV, checked by require_predictions, in ascending `order`, a column of sample.
+
+    Files follow each other in that order, by ranges: no task holds all rows. Repeated keys of the sample are an error.
+    """
+    require_invariants(sample.groupBy(key).agg(F.count("*").alias("n")), {"a sample's key once": "n = 1"})
+    good = require_predictions(df, sample, key, value)
+    places = sample.select(F.col(key).alias("_key"), F.col(order).alias("_order"))
+    rows = good.join(places, F.col(key) == F.col("_key")).orderBy("_order").select(key, value)
+    write_csv(rows, path)
+
+
 def manifest(df: DataFrame, period: str, target: str) -> str:
     """JSON with rows, columns, rows of each period, and the target's mean: one aggregate, a row a period."""
     each = df.groupBy(period).agg(F.count("*").alias("n"), F.sum(target).alias("s"), F.count(target).alias("k")).orderBy(period).collect()
