@@ -37,3 +37,13 @@ def test_query_equals_its_sql(spark, name):
 def test_every_sql_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert "z6_frozen_domain" in entry.queries()
+
+
+def test_names_are_known_without_a_session():
+    """The driver asks for names and SQL before there is a session."""
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert e.oracle_sql() and set(e.oracle_sql()) <= set(e.queries()); print(len(e.queries()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.abspath(entry.__file__)), capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]

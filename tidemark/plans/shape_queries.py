@@ -14,7 +14,7 @@ from tidemark.plans.common import FACTS, RATED, ROW, ROW_SQL, facts, r9, rated,
 from tidemark.plans.frozen_queries import anchor_sql, anchored
 from tidemark.plans.registry import register
 from tidemark.plans.stats_queries import SCORED, scored
-from tidemark.sources.facts import DAY, ORDER
+from tidemark.sources.facts import ORDER, day
 from tidemark.sources.io import require_predictions
 
 _ORDER = ", ".join(ORDER)
@@ -198,7 +198,7 @@ def w7(spark, sf_dir):
     """Means of the last 1, 3 and 5 labels, null until there are so many."""
     scan = Scan(recent={f"_last{k}": (F.col("y"), k) for k in (1, 3, 5)})
     df = facts(spark, sf_dir)
-    out = scanned(df, ["p"], DAY, ORDER, scan, large_entities(df, "p"))
+    out = scanned(df, ["p"], day(), ORDER, scan, large_entities(df, "p"))
     full = {f"prev{k}": F.when(F.col(f"_last{k}.n") == k, F.col(f"_last{k}.mean")) for k in (1, 3, 5)}
     return rounded(out.withColumns(full), *full)
 

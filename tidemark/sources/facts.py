@@ -72,8 +72,10 @@ def _mix() -> dict[str, Column]:
     return {"fast": F.when(d < 0.04, 1).otherwise(0), "breaking": F.when((d >= 0.04) & (d < 0.08), 1).otherwise(0), "offspeed": F.when(d >= 0.08, 1).otherwise(0)}
 
 
-#: The part of a large entity's order that one task holds: the day of the row.
-DAY = F.to_date("l_shipdate")
+def day() -> Column:
+    """The part of a large entity's order that one task holds."""
+    return F.to_date("l_shipdate")
+
 
 
 def with_rates(df: DataFrame, few: int | None = None, most: int | None = None) -> DataFrame:
@@ -88,7 +90,7 @@ def with_rates(df: DataFrame, few: int | None = None, most: int | None = None) -
         share = {f"{e}_{x}_rate": F.col(x) for x in labels} | ({f"p_{x}_rate": c for x, c in _mix().items()} if e == "p" else {})
         recent = {f"p_prev{k}_{x}": (F.col(x), k) for x in ("y", "middle") for k in (1, 3, 5)} if e == "p" else {}
         scan = Scan(totals={f"{e}_n": F.lit(1).cast("long")} | {c: v.cast("long") for c, v in share.items()}, recent=recent)
-        found = scanned(out, [e], DAY, ORDER, scan, False if small else large_entities(df, e, few), df)
+        found = scanned(out, [e], day(), ORDER, scan, False if small else large_entities(df, e, few), df)
         rate = lambda c: F.try_divide(F.col(c).cast("double"), F.col(f"{e}_n").cast("double")).alias(c)  # noqa: B023, E731
         out = found.select(*out.columns, f"{e}_n", *[rate(c) for c in share], *[F.col(c)["mean"].alias(c) for c in recent])
     return out
