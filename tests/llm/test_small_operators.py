@@ -86,6 +86,19 @@ def test_relative_links_join_their_component(spark):
     assert rows(url_filter.judge(pages, "page_id", "url", URL_RULES, html="html").select("page_id", "verdict")) == [(1, "block"), (2, "block")]
 
 
+def test_spellings_of_an_address_are_aliases(spark):
+    same = ["http://www.x.org/a/", "https://x.org/a?utm=1", "HTTP://M.X.org/a.html#top", "http://x.org/a//"]
+    other = ["http://x.org/a/b", "http://m.org/a", "http://org/a", "http://www.m.x.org/A", "no host", None]
+    rows_in = [(i, u) for i, u in enumerate([*same, *other, same[0]])]
+    moved = spark.createDataFrame([("https://x.org/a?utm=1", "http://y.net/es/")], "a string, b string")
+    df = spark.createDataFrame(rows_in, "page_id long, url string").withColumn("a", F.lit("clash")).withColumn("b", F.lit("clash"))
+    found = {r["page_id"]: (r["verdict"], r["component"]) for r in url_filter.judge(df, "page_id", "url", URL_RULES, redirects=moved, addresses=True).collect()}
+    # One of them leads to a blocked page, so all of its spellings are blocked.
+    assert {found[i] for i in (0, 1, 2, 3, 10)} == {("block", "http://m.x.org/a.html")}
+    assert all(found[i] == ("allow", None) for i in range(4, 10))
+    assert url_filter.judge(df.limit(0), "page_id", "url", URL_RULES, addresses=True).count() == 0
+
+
 def test_an_allowed_alias_keeps_its_component_open(spark):
     df = spark.createDataFrame([(1, "http://x.net/es/", None), (2, "http://y.org/", None), (3, "http://z.com/", None)], "page_id long, url string, html string")
     moved = spark.createDataFrame([("http://x.net/es/", "http://y.org/"), ("http://y.org/", "http://z.com/"), (None, "http://y.org/")], "a string, b string")

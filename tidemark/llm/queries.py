@@ -28,7 +28,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(_read(spark, sf_dir, "pages", "page_id", "url", "html"), "page_id", "url", URL_RULES, html="html")
+    return url_filter.judge(_read(spark, sf_dir, "pages", "page_id", "url", "html"), "page_id", "url", URL_RULES, html="html", addresses=True)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

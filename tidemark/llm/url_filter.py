@@ -1,6 +1,6 @@
 """URL filter with redirect equivalence.
 
-Pages that redirect to one another, or name a common canonical address, are aliases: connected components over those
+Pages that redirect to one another, name a common canonical address, or have one address in several spellings, are aliases: connected components over those
 edges. A rule that fits a url itself decides it. Otherwise the url takes its component's decision: allowed if an allow
 rule fits any member (explicit allows go first), blocked if a block rule fits any member, and allowed if no rule does.
 """
@@ -82,6 +82,20 @@ def linked_addresses(pages: DataFrame, url: str, html: str) -> DataFrame:
     return to.select(node_of(F.col("url")).alias("a"), node_of(F.col("whole")).alias("b")).where("a is not null and b is not null and a != b")
 
 
+def plain_address(url: Column) -> Column:
+    """What addresses of one page have in common: the host without a leading www. or m., and the path without .htm,
+    .html and slashes at its end. Scheme, query and fragment don't count, as rules don't see them. Null without a host."""
+    host = F.regexp_replace(host_of(url), r"^(?:www|m)\.(?=[^.]+\.)", "")
+    return F.when(host_of(url) != "", F.concat(host, F.regexp_replace(F.regexp_replace(path_of(url), r"\.html?$", ""), r"/+$", "")))
+
+
+def same_page(pages: DataFrame, url: str) -> DataFrame:
+    """(a, b): addresses of pages that are ways to write one page's address, each with the smallest of them."""
+    known = pages.select(node_of(F.col(url)).alias("a"), plain_address(F.col(url)).alias("_plain")).where("a is not null").distinct()
+    least = known.groupBy("_plain").agg(F.min("a").alias("b"), F.count("*").alias("_n")).where("_n > 1")
+    return known.join(least, "_plain").where("a != b").select("a", "b")
+
+
 def fitting_rule(rows: DataFrame, rules: list[tuple[str, str, bool]]) -> DataFrame:
     """rows (host, path, ...) with rule (string) and allow (boolean), both null where no rule fits.
 
@@ -100,16 +114,18 @@ def fitting_rule(rows: DataFrame, rules: list[tuple[str, str, bool]]) -> DataFra
     return rows.join(hosts, "host", "left").select(*rows.columns, best["rule"].alias("rule"), best["allow"].alias("allow"))
 
 
-def judge(pages: DataFrame, key: str, url: str, rules: list[tuple[str, str, bool]], html: str | None = None, redirects: DataFrame | None = None) -> DataFrame:
+def judge(pages: DataFrame, key: str, url: str, rules: list[tuple[str, str, bool]], html: str | None = None, redirects: DataFrame | None = None, addresses: bool = False) -> DataFrame:
     """One row for each row of pages: key, host, path, rule, verdict (allow or block), component.
 
-    Edges come from the pages' own html, where that column is named, and from redirects, a table whose first two
-    columns are addresses. component is the smallest address of the aliases, null for pages without any.
+    Edges come from the pages' own html, where that column is named, from redirects, a table whose first two columns are
+    addresses, and, with addresses, from pages whose addresses are ways to write the same one. component is the smallest address of the aliases, null for pages without any.
     Repeated rows and addresses stay; null urls have empty host and path, no rule and no aliases, and are allowed;
     null html and null redirects give no edges; other columns of pages are dropped; an empty table gives an empty one.
     """
     flat = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     edges = [linked_addresses(pages, url, html)] if html else []
+    if addresses:
+        edges.append(same_page(pages, url))
     if redirects is not None:
         a, b = redirects.columns[:2]
         edges.append(redirects.select(node_of(F.col(a)).alias("a"), node_of(F.col(b)).alias("b")).where("a is not null and b is not null"))
@@ -144,7 +160,8 @@ tags AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\\b[^>]*
 named AS (SELECT url, replace(CASE WHEN regexp_matches(tag, '(?i)\\brel\\s*=\\s*["'']?canonical\\b') THEN regexp_extract(tag, '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1)
   WHEN regexp_matches(tag, '(?i)\\bhttp-equiv\\s*=\\s*["'']?refresh\\b') THEN regexp_extract(tag, '(?i)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1) END, '&amp;', '&') AS t FROM tags),
 whole AS (SELECT url, CASE WHEN starts_with(t, '//') THEN regexp_extract(url, '^[^:/?#]+:') || t WHEN starts_with(t, '/') THEN {head('url')} || t ELSE t END AS t FROM named WHERE t <> ''),
-half AS (SELECT {node('url')} AS a, {node('t')} AS b FROM whole),
+known AS (SELECT DISTINCT {node('url')} AS a, regexp_replace({host('url')}, '^(?:www|m)\\.([^.]+\\.)', '\\1') || regexp_replace(regexp_replace({path('url')}, '\\.html?$', ''), '/+$', '') AS k FROM pages WHERE {host('url')} <> ''),
+half AS (SELECT {node('url')} AS a, {node('t')} AS b FROM whole UNION ALL SELECT a, b FROM known JOIN (SELECT k, min(a) AS b FROM known GROUP BY k) USING (k)),
 edges AS (SELECT a, b FROM half WHERE a <> b UNION SELECT b, a FROM half WHERE a <> b),
 reach(a, b) AS (SELECT a, a FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
 comp AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY a),
