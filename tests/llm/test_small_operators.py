@@ -112,6 +112,24 @@ def test_licences_in_other_spellings(spark):
     assert found == sorted([(1, "MIT"), (1, "MIT"), (2, "Apache-2.0-line"), (3, None), (4, None), (5, None), (6, None), (None, "MIT")], key=str)
 
 
+def test_lines_that_are_notices(spark):
+    docs = [
+        (1, "Intro.\nRELEASED under the MIT licence\r\nMore text.\n  Licensed under CC BY-NC 4.0.  \nLicensed under the M.I.T. terms."),
+        (2, "It is released under the MIT License. Or is it?"),
+        (3, license_scan.APACHE_LINE),
+        (4, None),
+        (5, "licence\n" * 20_000 + "Licensed under the MIT License!"),
+        (1, "x\nLicensed under the Apache License, Version 2.0.\nLicensed under the Apache License, Version 2.0."),
+        (None, "Released under the MIT License."),
+        (7, ""),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("notices", F.lit(1)).withColumn("_row", F.lit(2))
+    found = rows(license_scan.scan(df, "doc_id", "text").select("doc_id", "license", "notices"))
+    want = [(1, None, "CC-BY-NC-4.0-line,MIT-line"), (2, None, None), (3, "Apache-2.0-line", "Apache-2.0-line"), (4, None, None), (5, None, "MIT-line"), (1, None, "Apache-2.0-line"), (None, None, "MIT-line"), (7, None, None)]
+    assert found == sorted(want, key=str)
+    assert license_scan.scan(df.limit(0), "doc_id", "text").count() == 0
+
+
 @pytest.mark.parametrize("width", [50, 60, 66, 72, 79, 80, 100])
 def test_licences_wrapped_by_hand(spark, width):
     import textwrap
