@@ -110,6 +110,7 @@ def fitting_rule(rows: DataFrame, rules: list[tuple[str, str, bool]]) -> DataFra
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     one = F.struct((F.length("_suffix") + F.length("_path")).alias("n"), F.length("_suffix").alias("h"), F.col("_allow").alias("allow"), F.concat("_suffix", "_path").alias("rule"), F.col("_path").alias("path"))
     hosts = rows.select("host").distinct().withColumn("_suffix", F.explode(suffixes)).join(F.broadcast(known), "_suffix").groupBy("host").agg(F.collect_set(one).alias("_rules"))
+    hosts = checkpoint(hosts)  # as a table, so that adaptive execution can split a host of very many rows
     best = F.array_max(F.filter("_rules", lambda r: F.startswith(F.col("path"), r["path"])))
     return rows.join(hosts, "host", "left").select(*rows.columns, best["rule"].alias("rule"), best["allow"].alias("allow"))
 
