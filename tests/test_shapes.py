@@ -124,3 +124,19 @@ def test_masks_of_all_folds_are_counted_at_once(spark):
     t = lambda e: F.expr(e)
     found = C.fold_overlaps(df, {"a": (t("season < 2020"), t("season = 2020")), "b": (t("season <= 2020"), t("season >= 2020")), "c": (t("season < 0"), t("season > 0"))})
     assert sorted(map(tuple, found.collect())) == [("a", 2, 1, 0, True), ("b", 3, 2, 1, False), ("c", 0, 4, 0, False)]
+
+
+def test_scaler_fits_all_columns_at_once(spark):
+    from tidemark.operators.scaling import RobustScaler
+
+    dice = np.random.default_rng(3)
+    a, b = dice.normal(size=200), dice.integers(0, 5, 200).astype(float)
+    rows = [(float(x) if i % 4 else None, float(y), None, 7.0) for i, (x, y) in enumerate(zip(a, b))]
+    df = spark.createDataFrame(rows, "a double, b double, none double, same double")
+    found = RobustScaler.fit(df, ["a", "b", "none", "same"]).params
+    known = np.array([r[0] for r in rows if r[0] is not None])
+    filled = np.array([np.median(known) if r[0] is None else r[0] for r in rows])
+    assert np.allclose(found["a"][:3], [np.median(known), *np.quantile(filled, [0.05, 0.95])]) and found["a"][3]
+    assert np.allclose(found["b"][:3], [np.median(b), *np.quantile(b, [0.05, 0.95])]) and not found["b"][3]
+    assert found["none"] == (0.0, 0.0, 0.0, True) and found["same"] == (7.0, 7.0, 7.0, False)
+    assert RobustScaler.fit(df.limit(0), ["a"]).params == {"a": (0.0, 0.0, 0.0, False)}

@@ -36,7 +36,7 @@ def probability_metrics(df: DataFrame, y: str, p: str, by: list[str] | None = No
     # Totals run on from group to group: a group's ranks begin at its smallest one.
     area = F.try_divide(F.col("r") - F.col("start") * F.col("np") - F.col("np") * (F.col("np") + 1) / 2, F.col("np") * F.col("nn"))
     auc = auc.select(*by, area.alias("auc"))
-    return one.join(auc, by) if by else one.join(F.broadcast(auc))
+    return one.join(auc, by) if by else one.join(auc)
 
 
 def binary_metrics(y: Column, p: Column, small: float = 1e-7) -> dict[str, Column]:

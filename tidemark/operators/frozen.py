@@ -133,7 +133,7 @@ def domain_paths(df: DataFrame, entity: str, domain: str = "gt", target: str = "
         *[F.last(rate(d), ignorenulls=True).over(w).alias(f"last{d}") for d in values],
     )
     first = df.agg(F.min(period).alias("_first"))
-    out = df.join(state, [entity, period], "left").join(F.broadcast(first))
+    out = df.join(state, [entity, period], "left").join(first)
     n = {d: F.coalesce(F.col(f"n{d}"), F.lit(0)) for d in values}
     last = F.coalesce("last", F.lit("NEW"))
     return out.select(

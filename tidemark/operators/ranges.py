@@ -113,7 +113,7 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: list[float], by:
     values = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_m"))
     run = running_totals(values, [*by, "_v"], {"_before": "_m"})
     total = run.groupBy(*by).agg(F.min("_before").alias("_start"), F.sum("_m").alias("_n"))
-    placed = run.join(total, by) if by else run.join(F.broadcast(total))  # without by, one row
+    placed = run.join(total, by) if by else run.join(total)  # without by, one row
     rank = [F.lit(float(q)) * (F.col("_n") - 1) for q in probabilities]
     place = F.col("_before") - F.col("_start")
     at = lambda r: F.max(F.when((place <= r) & (r < place + F.col("_m")), F.col("_v")))

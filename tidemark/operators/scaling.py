@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranges import exact_quantiles
+from tidemark.operators.ranges import bound, exact_quantiles, unbound
 
 
 @dataclass(frozen=True)
@@ -21,15 +21,16 @@ class RobustScaler:
 
     @classmethod
     def fit(cls, df: DataFrame, columns: list[str]) -> RobustScaler:
-        nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
-        params = {}
-        for c in columns:
-            known = exact_quantiles(df, c, [0.5]).first()["quantiles"]
-            median = known[0] if known else 0.0
-            filled = df.select(F.coalesce(F.col(c), F.lit(median)).alias(c))
-            low, high = exact_quantiles(filled, c, [0.05, 0.95]).first()["quantiles"] or (0.0, 0.0)
-            params[c] = (median, low, high, nulls[c] > 0)
-        return cls(params)
+        """All columns at once: their values as rows of one bound table, which is read for both sorts of quantiles."""
+        pairs = F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in columns])
+        values = bound(df.select(F.inline(pairs)))
+        nulls = {r["_c"]: r["n"] for r in values.groupBy("_c").agg(F.count_if(F.col("_v").isNull()).alias("n")).collect()}
+        median = {c: 0.0 for c in columns} | {r["_c"]: r["quantiles"][0] for r in exact_quantiles(values, "_v", [0.5], by=["_c"]).collect()}
+        known = F.element_at(F.create_map(*[F.lit(x) for c in columns for x in (c, float(median[c]))]), F.col("_c"))
+        filled = values.withColumn("_v", F.coalesce("_v", known))
+        ends = {r["_c"]: tuple(r["quantiles"]) for r in exact_quantiles(filled, "_v", [0.05, 0.95], by=["_c"]).collect()}
+        unbound(values)
+        return cls({c: (median[c], *ends.get(c, (0.0, 0.0)), nulls.get(c, 0) > 0) for c in columns})
 
     def transform(self, df: DataFrame) -> DataFrame:
         new: dict[str, Column] = {}

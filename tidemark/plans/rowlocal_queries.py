@@ -128,7 +128,7 @@ def p13(spark, sf_dir):
     df = rated(spark, sf_dir)
     edges = exact_quantiles(df, "p_fast_rate", [i / 6 for i in range(7)]).withColumnRenamed("quantiles", "q")
     # One row of seven numbers.
-    df = df.join(F.broadcast(edges))
+    df = df.join(edges)
     code = R.quantile_code(F.round("p_fast_rate", 12), F.transform("q", lambda x: F.round(x, 12)))
     era = F.when(F.col("season") >= _RECENT, "RECENT").otherwise("OLD")
     fast = F.when(code < 0, "MISS").otherwise(F.concat(F.lit("Q"), code.cast("string")))
@@ -216,7 +216,7 @@ def _prior_sql() -> str:
 def p21(spark, sf_dir):
     df = rated(spark, sf_dir)
     mean = facts(spark, sf_dir).agg(F.avg("y").alias("mean"))  # one row
-    return _with(df.join(F.broadcast(mean)), {f"prior_{m}": R.prior(m) for m in ("flat", "pitch", "both", "recent", "domain")})
+    return _with(df.join(mean), {f"prior_{m}": R.prior(m) for m in ("flat", "pitch", "both", "recent", "domain")})
 
 
 @register("p22_outcome_class", f"WITH {FACTS} SELECT {ROW_SQL}, CASE WHEN y = 1 THEN 0 WHEN reverse = 0 AND middle = 0 THEN 1 WHEN reverse = 1 AND middle = 0 THEN 2 WHEN reverse = 0 AND middle = 1 THEN 3 ELSE 4 END AS class FROM facts r")
@@ -230,7 +230,7 @@ def p23(spark, sf_dir):
 
     df = facts(spark, sf_dir).withColumn("code", R.bits(*[F.col(c) for c in ("reverse", "middle", "ball", "strike")]))
     codes = df.select("code").distinct().withColumn("class", (F.dense_rank().over(Window.orderBy("code")) - 1).cast("int"))  # 16 rows at most
-    return rounded(df.join(F.broadcast(codes), "code"), "code", "class")
+    return rounded(df.join(codes, "code"), "code", "class")
 
 
 @register("p24_weights_and_labels", f"WITH {FACTS} SELECT {ROW_SQL}, CASE WHEN gt = 'F' THEN 2.0::double ELSE 1.0::double END AS w_domain, CASE WHEN gt = 'F' AND season < {_RECENT} THEN 0.5::double ELSE 1.0::double END AS w_old, 8 * y + reverse + middle + ball + strike AS label_sum FROM facts r")
@@ -283,7 +283,7 @@ def v6(spark, sf_dir):
 @register("v11_fold_masks", f"WITH {FACTS}, f(fold, v, c) AS (VALUES ('forward_2000', 2000, 0), ('forward_2001', 2001, 0), ('within_2001', 2001, 6)) SELECT fold, count(*) FILTER (season < v OR (c > 0 AND season = v AND inning <= c)) AS train, count(*) FILTER (season >= v - 2 AND (season < v OR (c > 0 AND season = v AND inning <= c))) AS recent, count(*) FILTER (season = v AND inning > c) AS valid FROM facts, f GROUP BY fold")
 def v11(spark, sf_dir):
     folds = spark.createDataFrame([("forward_2000", 2000, 0), ("forward_2001", 2001, 0), ("within_2001", 2001, 6)], "fold string, v int, c int")
-    df = facts(spark, sf_dir).groupBy("season", "inning").count().join(F.broadcast(folds))  # three folds
+    df = facts(spark, sf_dir).groupBy("season", "inning").count().join(folds)  # three folds
     train = (F.col("season") < F.col("v")) | ((F.col("c") > 0) & (F.col("season") == F.col("v")) & (F.col("inning") <= F.col("c")))
     total = lambda m: F.coalesce(F.sum(F.when(m, F.col("count"))), F.lit(0))
     return df.groupBy("fold").agg(total(train).alias("train"), total(train & (F.col("season") >= F.col("v") - 2)).alias("recent"), total((F.col("season") == F.col("v")) & (F.col("inning") > F.col("c"))).alias("valid"))

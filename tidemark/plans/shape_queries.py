@@ -235,7 +235,7 @@ def _season_sql() -> str:
 def p21_season(spark, sf_dir):
     mean = facts(spark, sf_dir).agg(F.avg("y").alias("mean"))  # one row
     df = anchored(rated(spark, sf_dir), "p", ["y"], 0.05).withColumns({"gap": F.col("panchor_gap_n"), "since": F.round("panchor_y_since", 9)})
-    return rounded(df.join(F.broadcast(mean)).withColumn("prior_season", R.prior("season")), "prior_season", digits=8)
+    return rounded(df.join(mean).withColumn("prior_season", R.prior("season")), "prior_season", digits=8)
 
 
 @register("p25_replicated_labels", f"WITH {FACTS} SELECT {ROW_SQL}, concat_ws(',', {', '.join(['y'] * 8)}, reverse, middle, ball, strike) AS labels FROM facts r")

@@ -71,7 +71,7 @@ def a11(spark, sf_dir):
 def a12(spark, sf_dir):
     df = rated(spark, sf_dir)
     n = exact_quantiles(df, "p_n", [0.5, 0.95]).select(F.get("quantiles", F.lit(0)).alias("median_n"), F.get("quantiles", F.lit(1)).alias("p95_n"))
-    q = exact_quantiles(df, "p_y_rate", [i / 6 for i in range(7)]).withColumnRenamed("quantiles", "e").join(F.broadcast(n))  # a row each
+    q = exact_quantiles(df, "p_y_rate", [i / 6 for i in range(7)]).withColumnRenamed("quantiles", "e").join(n)  # a row each
     return rounded(q.select(F.posexplode("e").alias("edge", "value"), "median_n", "p95_n"), "edge", "value", "median_n", "p95_n", keys=[])
 
 
@@ -85,7 +85,7 @@ def a14(spark, sf_dir):
     each = c.groupBy("gt", "class").agg(F.sum("ball").alias("s"), F.count("*").alias("n"))
     domain = each.groupBy("gt").agg((F.sum("s") / F.sum("n")).alias("dm"))
     whole = each.agg((F.sum("s") / F.sum("n")).alias("all"))
-    out = F.broadcast(grid).join(each, ["gt", "class"], "left").join(domain, "gt", "left").join(F.broadcast(whole))
+    out = grid.join(each, ["gt", "class"], "left").join(domain, "gt", "left").join(whole)
     return rounded(out.select("gt", "class", F.coalesce(F.try_divide("s", "n"), "dm", "all").alias("mean")), "gt", "class", "mean", keys=[])
 
 
@@ -94,7 +94,7 @@ def a15(spark, sf_dir):
     e = scored(spark, sf_dir).groupBy("season", "inning").agg(F.count("*").alias("n"), F.sum(F.col("y") - F.col("direct")).alias("s"))
     bias = e.agg((F.sum("s") / F.sum("n")).alias("b"))  # one row
     d = F.col("s") / F.col("n") - F.col("b")
-    out = e.where("n >= 20").join(F.broadcast(bias)).agg(F.count("*").alias("used"), F.sqrt(F.sum(F.col("n") * d * d) / F.sum("n")).alias("bias_rmse"))
+    out = e.where("n >= 20").join(bias).agg(F.count("*").alias("used"), F.sqrt(F.sum(F.col("n") * d * d) / F.sum("n")).alias("bias_rmse"))
     return rounded(out, *out.columns, keys=[])
 
 
