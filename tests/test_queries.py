@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
-NAMES = ["z6_frozen_domain", "z10_frozen_conditional", "z13_domain_paths", "p18_arsenal", "p21_priors", "w8_prefix_inversion", "a17_probability_metrics", "a20_grouped_evaluation", "u4_keep_last", "o1_stable_sort", "o4_mixed_sort", "j10_positional_alignment", "v5_canonical_invariants", "a10_candidate_summary", "p21_season_prior", "e6_gate_grid", "d2_fold_validation", "m9_joint_to_success", "a26_robust_scale", "a22_anchor_shares"]
+NAMES = ["z6_frozen_domain", "z10_frozen_conditional", "z13_domain_paths", "p18_arsenal", "p21_priors", "w8_prefix_inversion", "a17_probability_metrics", "a20_grouped_evaluation", "u4_keep_last", "o1_stable_sort", "o4_mixed_sort", "j10_positional_alignment", "v5_canonical_invariants", "a10_candidate_summary", "p21_season_prior", "e6_gate_grid", "d2_fold_validation", "m9_joint_to_success", "a26_robust_scale", "a22_anchor_shares", "e3_simplex_blend", "e5_core_and_final", "m6_indicators", "v12_independent_rows", "k1_verified_table", "s12_bundle_round_trip", "u6_name_sets", "v2_split_overlap", "j7_outer_add"]
 
 
 def plain(x):

@@ -14,7 +14,7 @@ from tidemark.functions.metrics import brier
 from tidemark.operators import boosting as T
 from tidemark.operators.ranges import delete, exists
 
-#: Units that run at once; each is a pool of its own, so a large one doesn't hold up the others where pools are fair.
+#: Units that run at once. Each is a pool of its own: where spark.scheduler.mode is FAIR, a large one doesn't hold up the others.
 AT_ONCE = 4
 
 
