@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.frozen import Profile, domain_paths, frozen_profiles, global_prior, latest_snapshot, team_paths
+from tidemark.operators.frozen import Profile, domain_paths, finished, global_prior, latest_snapshot, team_paths, with_state
 from tidemark.operators.ranges import bound
 from tidemark.plans.common import FACTS, RATED, ROW, ROW_SQL, rated, rounded
 from tidemark.plans.registry import register
+from tidemark.sources.facts import facts, large_of, most_rows, with_rates
+from tidemark.sources.facts import RATES as RATED_ENTITIES
 
 P, B = "p_y_rate", "b_y_rate"
 BUCKETS = "greatest(least(score, 3), -3) AS score_b, CASE WHEN li IS NULL THEN -1 WHEN li <= 0.5 THEN 0 WHEN li <= 1 THEN 1 WHEN li <= 2 THEN 2 WHEN li <= 4 THEN 3 ELSE 4 END AS li_b, CASE WHEN p_y_rate IS NULL THEN b_y_rate ELSE 0.7 * p_y_rate + 0.3 * b_y_rate END AS pair_base"
@@ -74,20 +76,35 @@ PRIOR = f"""{FACTS}, pr AS (SELECT season, coalesce(sum(s) OVER w / sum(n) OVER
 src AS (SELECT f.*, pr.prior FROM facts f JOIN pr ON f.season = pr.season)"""
 
 
-def source(spark, sf_dir: str) -> DataFrame:
-    return rated(spark, sf_dir).selectExpr("*", BUCKETS.split(", CASE WHEN li")[0], "CASE WHEN li" + BUCKETS.split(", CASE WHEN li")[1].split(", CASE WHEN p_y")[0], "CASE WHEN p_y" + BUCKETS.split(", CASE WHEN p_y")[1])
+#: Columns of BUCKETS, and what each is made of.
+_BUCKETS = dict(zip(("score_b", "li_b", "pair_base"), (e.rsplit(" AS ", 1)[0] for e in BUCKETS.replace("_b, ", "_b\n").split("\n"))))
 
 
 def _add(name: str) -> None:
     own = profiles_of(name)
     columns = [f"{p.name}_{x}" for p in own for x in ("logn", "rate", "delta")]
     sql = profile_sql(own, "src", PRIOR if name.startswith("z10") else BASE)
+    rates = [] if name.startswith("z10") else [e for e in RATED_ENTITIES if any(p.keys[0] == e or p.base == "pair_base" for p in own)]
 
     @register(name, sql)
     def query(spark, sf_dir: str) -> DataFrame:
-        df = global_prior(rated(spark, sf_dir), where="reverse = 0 AND middle = 0") if name.startswith("z10") else source(spark, sf_dir)
+        df = facts(spark, sf_dir)
+        sides = dict.fromkeys(p.keys[0] for p in own)
+        large = large_of(df, most=most_rows(spark, sf_dir), entities=dict.fromkeys([*rates, *sides]))
+        if name.startswith("z10"):
+            df = global_prior(df, where="reverse = 0 AND middle = 0")
         needed = dict.fromkeys([*ROW, *(c for p in own for c in (*p.keys, p.base, p.target)), "reverse", "middle"])
-        return rounded(frozen_profiles(bound(df.select(*needed)), own), *columns)
+        for c in ("score_b", "li_b"):
+            df = df.withColumn(c, F.expr(_BUCKETS[c]))
+        # An entity's rates and its state one after the other: its rows are dealt once for both.
+        for e in dict.fromkeys([*rates, *sides]):
+            if e in rates:
+                df = with_rates(df, large={e: large[e]})
+            if e in sides:
+                df = with_state(df, own, e, large=large[e])
+        if "pair_base" in needed:
+            df = df.withColumn("pair_base", F.expr(_BUCKETS["pair_base"]))
+        return rounded(finished(df, own, [c for c in needed if c in df.columns]), *columns)
 
 
 for _name in [*SPECS, "z9_frozen_aux", *[f"z9_aux_{x}" for x in EXTRAS], "z10_frozen_conditional", "z10_conditional_both_sides"]:
@@ -174,22 +191,16 @@ FROM facts r LEFT JOIN h ON r.{e} = h.{e} AND r.season = h.season"""
 
 @register("z13_domain_paths", _path_sql("p"))
 def z13(spark, sf_dir: str) -> DataFrame:
-    from tidemark.sources.facts import facts
-
     out = domain_paths(facts(spark, sf_dir), "p")
     return rounded(out, *[c for c in out.columns if c.startswith("p_")])
 
 
 @register("z14_team_paths", _team_sql("b", "pteam"))
 def z14(spark, sf_dir: str) -> DataFrame:
-    from tidemark.sources.facts import facts
-
     return rounded(team_paths(facts(spark, sf_dir), "b", "pteam"), "b_last_team", "b_team_cross", "b_switched", "b_teams")
 
 
 @register("a4_global_running_prior", f"WITH {PRIOR} SELECT season, round(prior, 9) + 0.0 AS prior FROM pr")
 def a4(spark, sf_dir: str) -> DataFrame:
-    from tidemark.sources.facts import facts
-
     out = global_prior(facts(spark, sf_dir), where="reverse = 0 AND middle = 0").select("season", "prior").distinct()
     return rounded(out, "season", "prior", keys=[])
