@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranges import bound
+
 
 def blend_weights(df: DataFrame, y: str, direct: str, other: str, domain: str) -> DataFrame:
     """(domain, weight): the share of `other` that minimises the squared error, in [0, 1]; 0 if both are equal."""
@@ -18,9 +20,12 @@ def blend_weights(df: DataFrame, y: str, direct: str, other: str, domain: str) -
 
 
 def blend(df: DataFrame, weights: DataFrame, direct: str, other: str, domain: str) -> DataFrame:
-    """df with blend = (1 - weight) * direct + weight * other; domains without a weight keep direct. weights: one row a domain."""
+    """df with blend = (1 - weight) * direct + weight * other; domains without a weight keep direct. weights: one row a domain.
+
+    weights are written first: Spark knows then how few they are, and does not deal all rows by their few domains.
+    """
     w = F.coalesce("weight", F.lit(0.0))
-    return df.join(weights, domain, "left").withColumn("blend", F.col(direct) + w * (F.col(other) - F.col(direct)))
+    return df.join(bound(weights), domain, "left").withColumn("blend", F.col(direct) + w * (F.col(other) - F.col(direct)))
 
 
 def moments(df: DataFrame, y: str, candidates: list[str], domain: str) -> dict:
