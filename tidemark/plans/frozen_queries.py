@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.frozen import Profile, domain_paths, finished, global_prior, latest_snapshot, team_paths, with_state
-from tidemark.operators.ranges import bound
-from tidemark.plans.common import FACTS, RATED, ROW, ROW_SQL, rated, rounded
+from tidemark.plans.common import FACTS, RATED, ROW, ROW_SQL, rounded
 from tidemark.plans.registry import register
 from tidemark.sources.facts import facts, large_of, most_rows, with_rates
 from tidemark.sources.facts import RATES as RATED_ENTITIES
@@ -113,10 +112,10 @@ for _name in [*SPECS, "z9_frozen_aux", *[f"z9_aux_{x}" for x in EXTRAS], "z10_fr
 RATES = ["y", "reverse", "middle", "ball", "strike"]
 
 
-def anchored(df: DataFrame, entity: str, rates: list[str], tolerance: float | None) -> DataFrame:
+def anchored(df: DataFrame, entity: str, rates: list[str], tolerance: float | None, large=None) -> DataFrame:
     """The entity's frozen anchor: its latest (n, rates) of earlier periods, the gap since, and the rate since."""
     n, at = f"{entity}_n", f"{entity}anchor"
-    out = latest_snapshot(df, entity, n, [f"{entity}_{x}_rate" for x in rates], [c for c in ROW if c != "season"], prefix=at)
+    out = latest_snapshot(df, entity, n, [f"{entity}_{x}_rate" for x in rates], [c for c in ROW if c != "season"], prefix=at, large=large)
     then = F.col(f"{at}_{n}")
     gap = F.when(F.col(n) > then, F.col(n) - then)
     new = {f"{at}_available": then.isNotNull().cast("int"), f"{at}_gap_n": gap}
@@ -132,6 +131,15 @@ def anchored(df: DataFrame, entity: str, rates: list[str], tolerance: float | No
     return out.select("*", *[c.alias(k) for k, c in new.items()])
 
 
+def anchored_facts(spark, sf_dir: str, anchors: dict[str, tuple[list[str], float | None]]) -> DataFrame:
+    """facts with the rates and the anchor (labels, tolerance) of each entity, its rows dealt once for both."""
+    df = facts(spark, sf_dir)
+    large = large_of(df, most=most_rows(spark, sf_dir), entities=anchors)
+    for e, (rates, tolerance) in anchors.items():
+        df = anchored(with_rates(df, large={e: large[e]}), e, rates, tolerance, large[e])
+    return df
+
+
 def anchor_sql(entity: str, rates: list[str], tolerance: float | None) -> str:
     n, at = f"{entity}_n", f"{entity}anchor"
     keys = [c for c in ROW if c != "season"]
@@ -156,14 +164,12 @@ def _anchor_columns(entity: str, rates: list[str]) -> list[str]:
 
 @register("z11_frozen_anchor", anchor_sql("p", RATES, 0.05))
 def z11(spark, sf_dir: str) -> DataFrame:
-    df = bound(rated(spark, sf_dir).select(*ROW, "p", "p_n", *[f"p_{x}_rate" for x in RATES]))
-    return rounded(anchored(df, "p", RATES, 0.05), *_anchor_columns("p", RATES))
+    return rounded(anchored_facts(spark, sf_dir, {"p": (RATES, 0.05)}), *_anchor_columns("p", RATES))
 
 
 @register("z12_batter_anchor", anchor_sql("b", ["y", "middle"], None))
 def z12(spark, sf_dir: str) -> DataFrame:
-    df = bound(rated(spark, sf_dir).select(*ROW, "b", "b_n", "b_y_rate", "b_middle_rate"))
-    return rounded(anchored(df, "b", ["y", "middle"], None), *_anchor_columns("b", ["y", "middle"]))
+    return rounded(anchored_facts(spark, sf_dir, {"b": (["y", "middle"], None)}), *_anchor_columns("b", ["y", "middle"]))
 
 
 def _path_sql(e: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import rowlocal as R
 from tidemark.operators.ranges import exact_quantiles
 from tidemark.plans.common import FACTS, RATED, ROW_SQL, facts, r9, rated, rounded
-from tidemark.plans.frozen_queries import anchor_sql, anchored
+from tidemark.plans.frozen_queries import anchor_sql, anchored, anchored_facts
 from tidemark.plans.registry import register
 from tidemark.sources.io import require_domain
 
@@ -142,7 +142,7 @@ def p14(spark, sf_dir):
 
 
 def _anchored(spark, sf_dir):
-    return anchored(anchored(rated(spark, sf_dir), "p", ["y", "reverse", "middle", "ball", "strike"], 0.05), "b", ["y", "middle"], None)
+    return anchored_facts(spark, sf_dir, {"p": (_LABELS, 0.05), "b": (["y", "middle"], None)})
 
 
 _LABELS = ["y", "reverse", "middle", "ball", "strike"]
