@@ -122,3 +122,8 @@ def test_shuffles_do_not_grow_with_the_key_sets(spark):
     sets = [("p", "c"), ("p", "d"), ("p", "c", "d"), ("b", "c"), ("b", "d"), ("b", "c", "d")]
     plan = frozen_profiles(df, [Profile(f"q{j}", s, "base", 20) for j, s in enumerate(sets)])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") <= 8 and plan.count("Range (") <= 3
+
+
+def test_what_earlier_ranges_hold_does_not_shuffle_the_rows(spark):
+    plan = running_totals(spark.range(1000), ["id"], {"s": "id"})._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan

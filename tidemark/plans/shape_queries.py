@@ -272,7 +272,7 @@ def p30(spark, sf_dir):
 @register("p31_inference_base", f"WITH {RATED}, k AS (SELECT *, row_number() OVER (ORDER BY {_ORDER}) - 1 AS position FROM rated) SELECT {_ROW}, position, NULL::int AS y, upper(trim(gt)) AS gt, {r9('p_prev1_y - p_y_rate', 'prev1_minus_long')}, {r9('p_n / (p_n + 2000.0)', 'w')} FROM k")
 def p31(spark, sf_dir):
     """Rows to be scored: place, integer period, normal domain, the features of training, and no label."""
-    df = positions(rated(spark, sf_dir), ORDER, "position")
+    df = positions(rated(spark, sf_dir).select(*dict.fromkeys([*ROW, *ORDER, "gt", "p_n", "p_y_rate", "p_prev1_y", "p_prev3_y", "p_prev5_y"])), ORDER, "position")
     new = {"season": F.col("season").cast("int"), "gt": F.upper(F.trim("gt")), "y": F.lit(None).cast("int"), "w": R.experience("p_n")}
     block = R.recent_block("p_y_rate", "p_prev1_y", "p_prev3_y", "p_prev5_y")
     return rounded(df.withColumn("prev1_minus_long", block["prev1_minus_long"]).withColumns(new), "position", "y", "gt", "prev1_minus_long", "w")
