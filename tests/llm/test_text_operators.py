@@ -157,6 +157,38 @@ def test_lines_within_the_edits_are_found(spark, low, high, share, least):
     assert gone <= want and len(want) > 0.9 * n and len(gone) >= least * len(want)
 
 
+def test_lines_that_only_share_a_passage_are_hardly_compared(spark, monkeypatch):
+    dice = random.Random(43)
+    word = lambda: "".join(dice.choices("abcdefghijklmnoprstuvwxyz", k=6))
+    passage = "seventeen lighthouses overlooking harbour pavements"
+    lines = [" ".join([*(word() for _ in range(5)), passage, *(word() for _ in range(6))]) for _ in range(80)]
+    docs = [*enumerate(lines), *((100 + i, x[:-6] + "changed"[: i % 4 + 3]) for i, x in enumerate(lines[:20]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    compared, groups = [], line_dedup.linked_groups
+
+    def counting(members, verify, *a, **b):
+        return groups(members, lambda pairs: compared.append(pairs.count()) or verify(pairs), *a, **b)
+
+    monkeypatch.setattr(line_dedup, "linked_groups", counting)
+    found = {r["doc_id"]: r["text"] for r in line_dedup.dedup(df, "doc_id", "text").collect()}
+    assert found == plain_line_dedup(docs) and sum(x == "" for x in found.values()) == 20
+    assert sum(compared) < 80 * 79 / 2 / 8
+
+
+def test_letter_counts_lose_no_line_within_the_edits(spark):
+    dice = random.Random(47)
+    rows = []
+    for n in (1, 9, 10, 30, 77, 200, 6000):
+        for _ in range(12):
+            a = "".join(dice.choices("aeinrst 0éxyzß", k=n))
+            rows.append((a, edited(dice, "x" + a, n // 10 or 1)))
+    df = spark.createDataFrame(rows, "a string, b string").withColumns({"x": line_dedup.letter_counts(F.col("a")), "y": line_dedup.letter_counts(F.col("b"))})
+    like = F.expr("levenshtein(a, b) <= floor(0.1 * greatest(length(a), length(b)))")
+    near = F.abs(line_dedup.length_band(F.col("x")) - line_dedup.length_band(F.col("y"))) <= 1
+    both = df.where(like).agg(F.count("*"), F.sum(F.when(line_dedup.may_be_like(F.col("x"), F.col("y")) & near, 1).otherwise(0))).first()
+    assert both[0] == both[1] > 20
+
+
 def test_repeated_substrings(spark):
     dice = random.Random(13)
     passage, short = sentence(dice, 70), sentence(dice, 30)
