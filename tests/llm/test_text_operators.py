@@ -3,14 +3,16 @@
 import hashlib
 import random
 import re
+import time
 from itertools import combinations
+from pathlib import Path
 
 import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, line_dedup, near_dedup, suffix_dedup
+from tidemark.llm import common, decontamination, line_dedup, near_dedup, suffix_dedup
 
 WORDS = [a + b for a in ("ba", "ko", "ri", "tu", "é") for b in ("n", "s", "ma", "lo", "ve", "x1")]
 
@@ -189,6 +191,40 @@ def test_letter_counts_lose_no_line_within_the_edits(spark):
     assert both[0] == both[1] > 20
 
 
+def test_one_rare_pair_of_words_is_enough(spark):
+    """Four of 13 words have an edit, so 5 of 13 pairs of words are left; two that both lines sample are too much to ask."""
+    dice = random.Random(53)
+    docs, n = [], 160
+    for k in range(n):
+        line = ["".join(dice.choices("abcdefghijklmnoprstuvwxyz", k=9)) for _ in range(13)]
+        docs += [(2 * k, " ".join(line)), (2 * k + 1, " ".join("q" + w if i % 3 == 2 else w for i, w in enumerate(line)))]
+    found = line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text")
+    gone = {r["doc_id"] for r in found.where("n_dropped = 1").collect()}
+    assert gone <= {2 * k + 1 for k in range(n)} and len(gone) > 0.9 * n
+
+
+def test_what_is_shuffled_for_a_table_is_not_kept(spark):
+    dirs = [d.getPath() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in dirs for f in Path(d).rglob("shuffle_*.data")}
+    before = files()
+    rows = spark.range(200000).groupBy("id").count()
+    assert common.table(rows, "rows").count() == common.checkpoint(rows).count() == 200000
+    time.sleep(1)
+    # Of the counts above, a number a task.
+    assert sum(f.stat().st_size for f in files() - before if f.exists()) < 100000
+
+
+def test_finished_stars_take_no_round(spark, monkeypatch):
+    written, table = [], common.table
+    monkeypatch.setattr(common, "table", lambda df, name: written.append(name) or table(df, name))
+    edges = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    found = common.connected_components(edges([(1, i) for i in range(2, 9)] + [(20, 30)]))
+    assert sorted(map(tuple, found.collect())) == [(i, 1) for i in range(1, 9)] + [(20, 20), (30, 20)]
+    assert len(written) == 1
+    chain = common.connected_components(edges([(i, i + 1) for i in range(40)] + [(100, 100), (7, 3)]))
+    assert sorted(map(tuple, chain.collect())) == [(i, 0) for i in range(41)]
+
+
 def test_repeated_substrings(spark):
     dice = random.Random(13)
     passage, short = sentence(dice, 70), sentence(dice, 30)
