@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytes import SPACES, flat, lean, lowered, mix, runs, shingles, stretch_hashes, words
-from tidemark.llm.common import checkpoint, table
+from tidemark.llm.common import forget, table
 from tidemark.llm.links import linked_groups, shared_buckets
 
 #: 32 bands of 4: at a similarity of 0.8 a pair shares no band once in 20 million times.
@@ -140,7 +140,7 @@ def _prefix_pairs(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
     With shingles in one order, sets as similar as `percent` share one of the first |x| - ceil(percent * |x| / 100) + 1
     of either. The order is by rarity, so that common shingles come last.
     """
-    own = checkpoint(sets.join(ids, "id").select("id", "part", "members"))
+    own = table(sets.join(ids, "id").select("id", "part", "members"), "own")
 
     @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +171,8 @@ def _prefix_pairs(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
             shingle = np.concatenate(first) if first else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(np.repeat(np.array(size, np.int64), n)), pa.array(np.concatenate([np.arange(k) for k in n]) if len(n) else n), pa.array(shingle)], ["id", "part", "size", "at", "shingle"])
 
-    rows = checkpoint(own.mapInArrow(prefixes, "id long, part long, size long, at long, shingle long"))
+    rows = table(own.mapInArrow(prefixes, "id long, part long, size long, at long, shingle long"), "prefixes")
+    forget(own)
     # A shingle of one part only makes no pair.
     several = rows.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("shingle")
     rows = rows.join(several, "shingle")
@@ -193,12 +194,12 @@ def groups(docs: DataFrame, key: str, text: str, n: int = 5, percent: int = 80)
     A null key never is the smallest of a component that has another; a component of null keys has a null component
     and keeps its rows. Other columns are dropped; an empty table gives an empty table.
     """
-    rows = checkpoint(sketches(docs, key, text, n))
+    rows = table(sketches(docs, key, text, n), "sketches")
     some = rows.where("n_shingles > 0")
     classes = some.groupBy("set").agg(F.min("k").alias("least"), F.min("digest").alias("digest"), F.first("bands").alias("bands"), F.first("packed").alias("packed"), F.first("n_shingles").alias("size"))
-    classes = checkpoint(classes.withColumn("id", F.monotonically_increasing_id()))
+    classes = table(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     members = shared_buckets(classes.select("id", F.explode("bands").alias("bucket")))
-    wanted = checkpoint(members.select("id").distinct().join(classes.select("id", "digest", "packed", "size"), "id"))
+    wanted = table(members.select("id").distinct().join(classes.select("id", "digest", "packed", "size"), "id"), "wanted")
     texts = docs.select(F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("digest"), F.col(text).cast("string").alias("text"))
     texts = texts.join(wanted.select("id", "digest"), "digest").dropDuplicates(["id"]).select("id", "text")
     sets = table(_full_sets(texts, n), "sets")
@@ -217,7 +218,8 @@ def groups(docs: DataFrame, key: str, text: str, n: int = 5, percent: int = 80)
 
     parts = linked_groups(members, verify, across=lambda placed: _prefix_pairs(sets, placed.select("id", "part").distinct(), percent))
     by_class = classes.select("id", "set", "least").join(parts.withColumnRenamed("node", "id"), "id", "left").select("set", "least", F.coalesce("component", "id").alias("part"))
-    by_class = checkpoint(by_class)
+    by_class = table(by_class, "by_class")
+    forget(members, wanted, sets, classes)
     lowest = by_class.groupBy("part").agg(F.min("least").alias("component"))
     by_set = by_class.join(lowest, "part").select("set", "component")
     out = rows.select("k", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set")).alias("set")).join(by_set, "set", "left")
