@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, decontamination, line_dedup, near_dedup, suffix_dedup
+from tidemark.llm import common, decontamination, line_dedup, links, near_dedup, suffix_dedup
 
 WORDS = [a + b for a in ("ba", "ko", "ri", "tu", "é") for b in ("n", "s", "ma", "lo", "ve", "x1")]
 
@@ -177,6 +177,33 @@ def test_lines_that_only_share_a_passage_are_hardly_compared(spark, monkeypatch)
     assert sum(compared) < 80 * 79 / 2 / 8
 
 
+def test_lines_of_other_lengths_do_not_meet(spark, monkeypatch):
+    """A passage in lines of which each is 1.4 times as long as the one before: no bucket brings two together."""
+    dice = random.Random(59)
+    word = lambda: "".join(dice.choices("abcdefghijklmnoprstuvwxyz", k=6))
+    passage = "seventeen lighthouses overlooking harbour pavements"
+    docs = [(i, " ".join([passage, *(word() for _ in range(int((60 * 1.4**i - len(passage)) / 7) + 1))])) for i in range(12)]
+    docs += [(100 + i, x[:-1] + "~") for i, x in docs[8:]] + [(200 + i, x[:-1]) for i, x in docs[8:]]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    met, groups = [], line_dedup.linked_groups
+
+    def counting(members, *a, **b):
+        met.extend(members.select("id").distinct().collect())
+        return groups(members, *a, **b)
+
+    monkeypatch.setattr(line_dedup, "linked_groups", counting)
+    found = {r["doc_id"]: r["text"] for r in line_dedup.dedup(df, "doc_id", "text").collect()}
+    assert found == plain_line_dedup(docs) and sum(x == "" for x in found.values()) == 8
+    assert len(met) == 8
+
+
+def test_ids_in_bands_next_to_each_other_meet(spark):
+    met = spark.range(12).selectExpr("7L as bucket", "id", "12L as n", "cast(id div 2 as int) as at")
+    rows = links.in_bands(met, F.col("at")).select("bucket", "id").collect()
+    of = {i: {r["bucket"] for r in rows if r["id"] == i} for i in range(12)}
+    assert all(bool(of[i] & of[j]) == (abs(i // 2 - j // 2) <= 1) for i in of for j in of)
+
+
 def test_letter_counts_lose_no_line_within_the_edits(spark):
     dice = random.Random(47)
     rows = []
