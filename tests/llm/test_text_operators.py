@@ -230,6 +230,13 @@ def test_one_rare_pair_of_words_is_enough(spark):
     assert gone <= {2 * k + 1 for k in range(n)} and len(gone) > 0.9 * n
 
 
+def test_one_sampled_pair_of_words_is_enough_however_many_lines_have_it(spark):
+    sketches = spark.createDataFrame([(i, 60, i << 40, [7, *range(100 * i + 100, 100 * i + 111)]) for i in range(40)], "id long, length int, simhash long, pairs array<int>")
+    found, _ = line_dedup.candidates(sketches, sketches.select("id", "length", F.lit(None).cast("string").alias("short")))
+    meet = found[0].groupBy("bucket").agg(F.collect_set("id").alias("ids")).collect()
+    assert any(len(r["ids"]) == 40 for r in meet)
+
+
 def test_what_is_shuffled_for_a_table_is_not_kept(spark):
     dirs = [d.getPath() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
     files = lambda: {f for d in dirs for f in Path(d).rglob("shuffle_*.data")}
