@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import conversation, repetition, spelling
+from tidemark.llm import common, conversation, repetition, spelling
 from tidemark.llm.bytes import runs
 
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -264,3 +264,11 @@ def test_repetition_decides_where_the_plain_rules_do_not(spark):
 
 def test_runs_cover_all_rows():
     assert runs(np.array([3, 3, 3]), 6) == [(0, 2), (2, 3)]
+
+
+def test_words_and_their_keys_are_never_broadcast(spark):
+    """However small their files are: a table of words is larger in memory, and has many times as many keys."""
+    words = common.table(spark.createDataFrame([(i, w, 9) for i, w in enumerate(("abcdefgh", "abcdefg", "abcdefgx"))], "id long, word string, n long"), "words")
+    near = spelling.near_pairs(words)
+    assert {(r["a"], r["b"]) for r in near.collect()} == {(0, 1), (1, 0), (0, 2), (2, 0), (1, 2), (2, 1)}
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()

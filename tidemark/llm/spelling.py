@@ -119,19 +119,21 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
     A pair shares one key only: the shorter word, or what is left without the replaced letter. The words of a key are
     the key with one letter put in, so at most letters of the alphabet times places, however many rows there are.
+    Joins are by sorting: Spark takes the keys for as few as the words, and tables for as small as their compressed files,
+    and would broadcast what grows with the words.
     """
     one, other = _keyed(words).alias("one"), _keyed(words).alias("other")
     a, b = (lambda c: F.col(f"one.{c}")), (lambda c: F.col(f"other.{c}"))
     itself = (a("low") < 0) != (b("low") < 0)
     replaced = (a("low") >= 0) & (b("low") >= 0) & (a("low") <= b("high")) & (b("low") <= a("high"))
     place = F.greatest(a("low"), b("low")).cast("int").alias("place")
-    met = one.join(other, (a("key") == b("key")) & (a("id") != b("id")) & (itself | replaced)).select(a("id").alias("a"), b("id").alias("b"), place)
+    met = one.join(other.hint("merge"), (a("key") == b("key")) & (a("id") != b("id")) & (itself | replaced)).select(a("id").alias("a"), b("id").alias("b"), place)
     mine = words.select(F.col("id").alias("a"), F.col("word").alias("_word"))
     theirs = words.select(F.col("id").alias("b"), "word", "n")
     cut = lambda w: F.concat(F.substr(w, F.lit(1), F.col("place")), F.substr(w, F.col("place") + 2))
     more = F.length("_word") - F.length("word")
     truly = F.when(more == 0, cut(F.col("_word")) == cut(F.col("word"))).when(more == 1, cut(F.col("_word")) == F.col("word")).when(more == -1, F.col("_word") == cut(F.col("word")))
-    return met.join(mine, "a").join(theirs, "b").where(truly).select("a", "b", "word", "n")
+    return met.join(mine.hint("merge"), "a").join(theirs.hint("merge"), "b").where(truly).select("a", "b", "word", "n")
 
 
 def _ends(links: DataFrame) -> DataFrame:
@@ -140,7 +142,7 @@ def _ends(links: DataFrame) -> DataFrame:
     while True:
         then = F.col("then.to")
         old = now
-        both = now.alias("now").join(now.alias("then"), F.col("now.to") == F.col("then.id"), "left")
+        both = now.alias("now").join(now.alias("then").hint("merge"), F.col("now.to") == F.col("then.id"), "left")
         now = table(both.select(F.col("now.id").alias("id"), F.coalesce(then, F.col("now.to")).alias("to"), then.isNotNull().alias("moved")), "links")
         forget(old)
         if not now.where("moved").head(1):
@@ -163,10 +165,10 @@ def variants(docs: DataFrame, key: str, text: str, letters: int = LETTERS, least
     near = near_pairs(words).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n_near"), best)
     near = near.select("id", "n_near", "best.form", "best.to", (-F.col("best.less")).alias("form_n"))
     has = F.col("form_n") >= F.lit(times) * F.col("n")
-    formed = table(words.join(near, "id", "left").select("id", "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), *[F.when(has, F.col(c)).alias(c) for c in ("form", "to", "form_n")]), "formed")
+    formed = table(words.join(near.hint("merge"), "id", "left").select("id", "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), *[F.when(has, F.col(c)).alias(c) for c in ("form", "to", "form_n")]), "formed")
     ends = _ends(formed.where("to is not null").select("id", "to"))
-    roots = ends.join(words.select(F.col("id").alias("to"), F.col("word").alias("root")), "to").select("id", "root")
-    return formed.join(roots, "id", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    roots = ends.join(words.select(F.col("id").alias("to"), F.col("word").alias("root")).hint("merge"), "to").select("id", "root")
+    return formed.join(roots.hint("merge"), "id", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def sql(letters: int = LETTERS, least: int = OCCURRENCES, times: int = TIMES, damage: int = DAMAGE) -> str:
