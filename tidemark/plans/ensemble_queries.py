@@ -10,6 +10,7 @@ from tidemark.functions import metrics as M
 from tidemark.functions import rowlocal as R
 from tidemark.operators import ensemble as E
 from tidemark.operators.models import joint_to_success
+from tidemark.operators.ranges import bound
 from tidemark.plans.common import FACTS, ROW, ROW_SQL, facts, r9, rounded
 from tidemark.plans.registry import register
 from tidemark.plans.stats_queries import SCORED, scored, simplex_sql
@@ -51,6 +52,8 @@ def e4(spark, sf_dir):
 @register("e5_core_and_final", f"WITH {SCORED}, c AS (SELECT *, 0.5 * (direct + coalesce(p_prev5_y, direct)) AS fourth FROM scored), {simplex_sql('w', 'c', 'direct', 'other', 'third')}, s AS (SELECT c.*, w.p * direct + w.q * other + (1 - w.p - w.q) * third AS safe FROM c JOIN w ON c.gt = w.gt), v AS (SELECT gt, greatest(least(sum((fourth - safe) * (y - safe)) / sum((fourth - safe) * (fourth - safe)), 1), 0) AS v FROM s GROUP BY gt) SELECT {ROW_SQL}, round(safe, 6) + 0.0 AS safe, round(safe + v * (fourth - safe), 6) + 0.0 AS final FROM s r JOIN v ON r.gt = v.gt")
 def e5(spark, sf_dir):
     df, _ = _candidates(spark, sf_dir, 5)
+    # Written once: two passes for moments and the result read a few columns, and shuffle nothing.
+    df = bound(df.select(*ROW, "y", "gt", "direct", "other", "third", "fourth"))
     out, _ = E.core_and_final(df, "y", "direct", "other", "third", "fourth", "gt")
     return rounded(out, "safe", "final", digits=6)
 
